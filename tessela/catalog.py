@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessela.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _shipped(f: Query) -> Query:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 class Catalog:
     """Named queries, each with its DuckDB statement where SQL can say it."""
 
@@ -20,7 +32,7 @@ class Catalog:
         def register(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = f
+            self.queries[name] = _shipped(f)
             if sql:
                 self.oracle[name] = sql
             return f

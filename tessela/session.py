@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,21 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
     return b.config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(partitions)).getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that they need no copy of it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessela_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tessela-")  # read by this driver only, which serves it to the executors
+    archive = os.path.join(folder, "tessela.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._tessela_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table NAME of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
