@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessela.functions.text import fold
+from tessela.session import cut_lineage
 
 # Words that carry no meaning in a name.
 STOP_WORDS = ("de", "do", "da", "dos", "das", "com", "em", "e")
@@ -144,8 +145,8 @@ def match_texts(texts: DataFrame, text: str, refs: DataFrame) -> DataFrame:
     A candidate must hold every word of the text that is a common word of the list (one of at least three
     entries), and the same digits.  The nearest entry holds, of ties the smallest ``ref_id``.
     """
-    strings = reference_strings(refs)
-    typed = typed_strings(texts, text)
+    strings = cut_lineage(reference_strings(refs))
+    typed = cut_lineage(typed_strings(texts, text))
     common = strings.select("ref_id", F.explode("words").alias("w")).distinct().groupBy("w").count().where("count >= 3").where(~F.col("w").isin(*STOP_WORDS))
     exact = typed.join(strings, typed["t"] == strings["s"]).select("text", typed["words"], strings["words"].alias("ref_words"), "ref_id", "t", "s", F.lit(0).alias("distance"))
     rest = typed.join(exact.select("text").distinct(), "text", "left_anti")
