@@ -33,8 +33,8 @@ class ListParams:
 
     dimension: int = 384
     sample: int = 20_000
-    list_size: int = 128
-    most_lists: int = 8_192
+    list_size: int = 1_024
+    most_lists: int = 16_384
     copies: int = 2
     copy_ratio: float = 1.06
     probes: int = 6
