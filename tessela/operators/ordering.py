@@ -51,7 +51,7 @@ def dense_calendar(df: DataFrame, day: str, today: str, days: int = 60) -> DataF
 
 def bursts(df: DataFrame, group: list[str], ts: str, key: str, least: int, seconds: int) -> DataFrame:
     """Rows at which their group had at least so many rows in the last seconds, with the count."""
-    w = Window.partitionBy(*group).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(*group).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return df.withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") >= least).select(*group, key, "in_window")
 
 
