@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessela.functions.clean import keywords
+from tessela.operators.joins import small_or_shuffled
 
 #: Words of the longest dictionary entry that is looked for.
 LONGEST = 8
@@ -30,11 +31,12 @@ def dictionary(df: DataFrame, term: str, code: str | None = None) -> DataFrame:
 
 def ngram_matches(texts: DataFrame, key: str, text: str, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(key, first, last, norm, code): dictionary entries in the texts by word places, overlapping ones included."""
+    words = entries.agg(F.max(F.size(F.split("norm", " "))).alias("n")).first()["n"] or 0
+    longest = max(1, min(longest, words))
     toks = texts.select(F.col(key), F.split(keywords(F.coalesce(F.col(text), F.lit(""))), " ").alias("w"))
     grams = toks.select(key, F.posexplode(F.expr(f"transform(w, (x, i) -> transform(sequence(1, least({longest}, size(w) - i)), n -> struct(int(i) as first, int(i + n - 1) as last, array_join(slice(w, i + 1, n), ' ') as norm)))")).alias("p", "gs"))
     flat = grams.select(key, F.explode("gs").alias("g")).select(key, "g.*").where("norm != ''")
-    sized = flat.join(entries.select("norm", "code"), "norm")
-    return sized.select(key, "first", "last", "norm", "code")
+    return flat.join(small_or_shuffled(entries.select("norm", "code")), "norm").select(key, "first", "last", "norm", "code")
 
 
 def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
