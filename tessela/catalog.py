@@ -40,5 +40,9 @@ class Catalog:
         return register
 
     def merge(self, other: Catalog) -> None:
-        for name, f in other.queries.items():
-            self.add(name, other.oracle.get(name))(f)
+        """Takes over another catalog's queries; a name that both have is an error."""
+        twice = self.queries.keys() & other.queries.keys()
+        if twice:
+            raise ValueError(f"queries are registered twice: {sorted(twice)}")
+        self.queries |= other.queries
+        self.oracle |= other.oracle
