@@ -57,9 +57,10 @@ def mix(sizes: DataFrame, targets: list[Row], total_tokens: int | None = None, s
     """(mix, source, doc_id, n_tokens, copies): the texts of each mix and how often each is used.
 
     ``sizes`` is (source, doc_id, n_tokens), each text once; texts without tokens, or of sources without a target, are
-    not used.  ``targets`` is the bounded list of mixes.  The rest of a source is met to within half a text.
+    not used.  ``targets`` is the bounded list of mixes; a target with a null in it is none.  The rest of a source is met to within half a text.
     """
     spark = sizes.sparkSession
+    targets = [t for t in targets if None not in (t["mix"], t["source"], t["target_share"], t["max_repeats"])]
     names = sorted({t["source"] for t in targets})
     texts = sizes.where((F.col("n_tokens") > 0) & F.col("source").isin(names))
     octave = F.floor(F.log2("n_tokens") * CLASSES).cast("int")
@@ -71,6 +72,8 @@ def mix(sizes: DataFrame, targets: list[Row], total_tokens: int | None = None, s
     for p in plan:
         fits = [(r["n"], r["s"], r["q"]) for r in rows if r["source"] == p["source"] and 2 ** (r["o"] / CLASSES) <= p["rest"]]
         p["theta"] = inclusion_rate(fits, p["rest"])
+    if not plan:
+        return texts.select(F.lit("").alias("mix"), "source", "doc_id", "n_tokens", F.lit(0).alias("copies")).limit(0)
     shares = spark.createDataFrame([(p["mix"], p["source"], p["copies"], p["rest"], p["theta"]) for p in plan], "mix string, source string, whole bigint, rest bigint, theta double")
     shares = F.broadcast(shares)  # a row per target
 
@@ -94,6 +97,7 @@ def share_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> Data
     """The share each source reached in each mix, beside its target, what it has and how often its texts are used at most."""
     got = mixed.groupBy("mix", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("texts"), F.max("copies").alias("most_copies"))
     has = sizes.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
+    targets = targets.select("mix", "source", "target_share", "max_repeats").dropna()
     full = targets.join(got, ["mix", "source"], "left").join(has, "source", "left")
     total = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy("mix"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -164,9 +164,12 @@ def pack(sizes: DataFrame, key: str, containers: list[tuple[str, int]], bucket_r
     """(container, bin_id, key, part_no, token_start, n_tokens): every item in a container of each kind.
 
     An item over the capacity is cut into full containers and a rest, which is packed; no other item is cut.
-    Items of size 0 or null have no rows.  Of equal sizes the smaller key comes first.
+    Items of size 0 or null have no rows, a container without name or capacity isn't used.  Of equal sizes the smaller key comes first.
     """
     spark = sizes.sparkSession
+    containers = [(c, int(n)) for c, n in containers if c is not None and n is not None and n > 0]
+    if not containers:
+        return sizes.select(F.lit("").alias("container"), F.lit("").alias("bin_id"), F.col(key), F.lit(0).alias("part_no"), F.lit(0).cast("bigint").alias("token_start"), "n_tokens").limit(0)
     kinds = F.array(*[F.struct(F.lit(i).alias("ci"), F.lit(c).alias("container"), F.lit(int(n)).cast("bigint").alias("capacity")) for i, (c, n) in enumerate(containers)])
     each = sizes.where("n_tokens > 0").select(F.col(key).alias("k"), "n_tokens", F.explode(kinds).alias("c")).select("k", "n_tokens", "c.*")
     full = each.where("n_tokens >= capacity").withColumn("part", F.explode(F.expr("sequence(0L, n_tokens div capacity - 1)")))
@@ -205,7 +208,7 @@ def pack(sizes: DataFrame, key: str, containers: list[tuple[str, int]], bucket_r
 
 def fill_report(packed: DataFrame, containers: list[tuple[str, int]]) -> DataFrame:
     """Containers used, tokens in them, the least number that could hold them, and the share that is filled."""
-    kinds = packed.sparkSession.createDataFrame([(c, int(n)) for c, n in containers], "container string, capacity bigint")
+    kinds = packed.sparkSession.createDataFrame([(c, int(n)) for c, n in containers if c is not None and n is not None], "container string, capacity bigint")
     bins = packed.groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
     out = bins.groupBy("container").agg(F.count("*").alias("bins"), F.sum("n").alias("tokens"), F.sum("items").alias("items"), F.max("n").alias("fullest"))
     return out.join(F.broadcast(kinds), "container").select("container", "capacity", "bins", "items", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 5).alias("filled"))
