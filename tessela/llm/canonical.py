@@ -19,46 +19,51 @@ STOP_WORDS = ("de", "do", "da", "dos", "das", "com", "em", "e")
 
 # Notes that typists put before or after a name (patterns on folded text).
 NOTES_BEFORE = (r"[?*\-.:!\s]+", r"hd\s*:?\s+", r"hx\s+(de\s+)?", r"obs\s*:?\s+", r"pcte\s+(c/|com)\s*", r"suspeita\s*(de\s+)?", r"hip\s*:\s*", r"ap\s*:\s*")
-NOTES_AFTER = (r"[?*!.:\s\-]+", r"\(ver\)", r"-\s*rever", r"\bcid\s*\?*", r"\(\?\)")
+NOTES_AFTER = (r"[?*!:\s\-]+", r"\(ver\)", r"-\s*rever", r"\bcid\s*\?*", r"\(\?\)")
 
-# Abbreviations of the words that names are made of (patterns on folded text, and the word).
+# Abbreviations of the words that names are made of (patterns on folded text, and the word); blanks before or
+# behind an abbreviation may be missing where no name has these letters.
 ABBREVIATIONS = (
-    (r"(?<=[a-z])(parc|benig|malig|insuf|tot|inj)\.", " $1."),
-    (r"\b(insuf|insf|insfic)\b\.?", "insuficiencia"),
-    (r"\b(sd|sind|sindr)\b\.?", "sindrome"),
-    (r"\b(dc|dca|dça|doe)\b\.?", "doenca"),
-    (r"^d\b\.?\s|\bd\b\.?(?=\s*(de\b|tipo|tp|t\b))", "doenca "),
-    (r"\b(tp|t)\b\.?(?=\s*(\d|i{1,3}\b))", "tipo"),
-    (r"\btot\b\.?", "total"),
-    (r"\bparc\b\.?", "parcial"),
-    (r"\bdir\b\.?", "direita"),
-    (r"\besq\b\.?", "esquerda"),
-    (r"\b(bng|benig|ben)\b\.?", "benigno"),
-    (r"\b(mlg|malig)\b\.?", "maligno"),
-    (r"\b(ag|agda)\b\.?", "aguda"),
-    (r"\b(cr|cca|cron)\b\.?", "cronica"),
-    (r"\bsol\b\.?", "solucao"),
-    (r"\binj\b\.?", "injetavel"),
-    (r"\b(comp|cp|cpr)\b\.?", "comprimido"),
-    (r"\b(dos|dosag)\b\.?", "dosagem"),
-    (r"\b(cint|cintilo)\b\.?", "cintilografia"),
+    (r"(?<=[a-z])(parc|benig|malig|insuf|insf|tot|inj|dir|esq)\.", " $1. "),
+    (r"\b(insuf|insf|insfic)\.?(?!iciencia)", " insuficiencia "),
+    (r"\b(sindr?|sd)\.(?!ome)|\bsind(?!ro)|\bsd\b", " sindrome "),
+    (r"\bdca?\b\.?|\bdca(?=d[aeo]|t)|\bdoe\b\.?", " doenca "),
+    (r"^d\b\.?\s*|\bd\b\.?(?=\s*(de\b|tipo|tp|t\b|(\d|i{1,3})\W*$))", " doenca "),
+    (r"tp\.?\s*-?\s*(?=\d|i{1,3}\b)|t\.\s*-?\s*(?=\d\W*$|i{1,3}\W*$)|\bt\s+(?=\d|i{1,3}\b)", " tipo "),
+    (r"\btot\b\.?", " total "),
+    (r"\bparc\b\.?", " parcial "),
+    (r"\bdir\b\.?", " direita "),
+    (r"\besq\b\.?", " esquerda "),
+    (r"bng\.?|\bbenig\b\.?", " benigno "),
+    (r"mlg\.?|\bmalig\b\.?", " maligno "),
+    (r"agda|\bag\b\.?", " aguda "),
+    (r"\bcca(?=d[aeo]\b)|\b(cr|cca|cron)\b\.?", " cronica "),
+    (r"\bsol\b\.?", " solucao "),
+    (r"\binj\b\.?", " injetavel "),
+    (r"\b(comp|cp|cpr)\b\.?", " comprimido "),
+    (r"\b(dos|dosag)\b\.?", " dosagem "),
+    (r"\b(cint|cintilo)\b\.?", " cintilografia "),
     (r"\bc/\s*", "com "),
-    (r"\bd\.?$", "direita"),
-    (r"\be\.?$", "esquerda"),
+    (r"\bd\b\.?(?=.*insuf)|(?<=insuf.{0,80})\bd\b\.?|\bd\.?$", " direita "),
+    (r"\be\b\.?(?=.*insuf)|(?<=insuf.{0,80})\be\b\.?|\be\.?$", " esquerda "),
 )
 # Digits that stand for letters of a similar shape.
 SHAPES = (("0", "o"), ("1", "i"), ("3", "e"), ("4", "a"), ("5", "s"))
+#: Edits that separate a typed name from the entry it means, at most: more would reach other names.
+MOST_EDITS = 2
 #: Letters to which typists cut a long word; a letter more or less is an edit.
 CUT = 7
 
 
 def clean(c: Column) -> Column:
     """Folded text without notes, with numbers set apart, abbreviations written out and digits in words made letters."""
-    c = F.regexp_replace(F.trim(c), r"(?<=\p{Ll})([DE])$", " $1")
+    c = F.regexp_replace(F.trim(c), r"(?<=\p{Ll})([DE])(?=\W|$)", " $1")
     c = F.regexp_replace(F.trim(fold(c)), r"(?U)\s+", " ")
     for _ in range(2):
         c = F.regexp_replace(c, "^(" + "|".join(NOTES_BEFORE) + ")", "")
         c = F.regexp_replace(c, "(" + "|".join(NOTES_AFTER) + ")$", "")
+    for digit, letter in SHAPES:  # a digit for a letter, before a dose
+        c = F.regexp_replace(c, rf"(?<=[a-z]){digit}(?=\d{{2}}\s*mg)", letter)
     c = F.regexp_replace(c, r"(\d+)\s*mgs?(?![a-z]*[aeiou][^a-z])", " $1 mg ")
     c = F.regexp_replace(c, r"tipos?\s*(\d|i{1,3}\b)", " tipo $1 ")
     c = F.regexp_replace(c, r"(?<![a-z])(\d)(\d*)(?=(comprimido|solucao|mg))", "$1$2 ")
@@ -68,13 +73,14 @@ def clean(c: Column) -> Column:
     for pattern, word in ABBREVIATIONS:
         c = F.regexp_replace(c, pattern, word)
     for roman, digit in (("iii", "3"), ("ii", "2"), ("i", "1")):
-        c = F.regexp_replace(c, rf"\btipo {roman}\b", f"tipo {digit}")
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?<=[a-z])-(?=[a-z])", ""), r"[^a-z0-9]+", " "))
+        c = F.regexp_replace(c, rf"\btipo\W+{roman}\b|(?<=(doenca|tipo).{{0,80}})\b{roman}(?=\W*$)", f"tipo {digit}")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?<=[a-z])-(?=[a-z])", ""), r"[^a-z0-9]+", " ")
+    return F.trim(F.regexp_replace(c, r"(?<=[a-z]{4})s\b", ""))  # plurals
 
 
 def edits_allowed(length: Column) -> Column:
     """k by the length of the reference string."""
-    return F.when(length < 6, 0).when(length < 9, 1).when(length < 16, 2).otherwise(3)
+    return F.when(length < 6, 0).when(length < 9, 1).otherwise(MOST_EDITS)
 
 
 def _tokens(c: Column) -> Column:
@@ -124,7 +130,7 @@ def _segments(strings: DataFrame) -> DataFrame:
 
 def _probes(typed: DataFrame) -> DataFrame:
     """(t, n, i, seg): the substrings of a typed string that may be a whole segment of a string of length n."""
-    widest = 3
+    widest = MOST_EDITS
     return (
         typed.select("t").distinct().withColumn("m", F.length("t"))
         .withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - widest), F.col("m") + widest)))
@@ -152,7 +158,7 @@ def match_texts(texts: DataFrame, text: str, refs: DataFrame) -> DataFrame:
     rest = typed.join(exact.select("text").distinct(), "text", "left_anti")
     pairs = (
         _probes(rest).join(_segments(strings), ["n", "i", "seg"]).select("t", "s", "k").distinct()
-        .withColumn("distance", F.levenshtein("t", "s", 3)).where("distance >= 0 and distance <= k")
+        .withColumn("distance", F.levenshtein("t", "s", MOST_EDITS)).where("distance >= 0 and distance <= k")
     )
     near = pairs.join(rest, "t").join(strings.withColumnRenamed("words", "ref_words"), "s").select("text", "words", "ref_words", "ref_id", "t", "s", "distance")
     known = typed.select("text", "words").distinct().select("text", F.explode("words").alias("w")).join(common.select("w"), "w").groupBy("text").agg(F.collect_set("w").alias("known"))
