@@ -64,7 +64,7 @@ def clean(c: Column) -> Column:
         c = F.regexp_replace(c, "(" + "|".join(NOTES_AFTER) + ")$", "")
     for digit, letter in SHAPES:  # a digit for a letter, before a dose
         c = F.regexp_replace(c, rf"(?<=[a-z]){digit}(?=\d{{2}}\s*mg)", letter)
-    c = F.regexp_replace(c, r"(\d+)\s*mgs?(?![a-z]*[aeiou][^a-z])", " $1 mg ")
+    c = F.regexp_replace(c, r"(\d+)\s*mg(s(?![a-z]))?", " $1 mg ")
     c = F.regexp_replace(c, r"tipos?\s*(\d|i{1,3}\b)", " tipo $1 ")
     c = F.regexp_replace(c, r"(?<![a-z])(\d)(\d*)(?=(comprimido|solucao|mg))", "$1$2 ")
     c = F.regexp_replace(c, r"(?<=[a-z])(\d{2,})|(\d{2,})(?=[a-z])", " $1$2 ")

@@ -312,7 +312,7 @@ def page_features(lines: list[str], known: frozenset[str]) -> list[list[str]]:
         first, last = at == 0, at == len(full) - 1
         gap = (i > 0 and not bare[i - 1], i + 1 < len(bare) and not bare[i + 1])
         size = "s" if len(b) < 0.35 * wide else "m" if len(b) < 0.7 * wide else "l"
-        out[i] = ["b", f"page{page}{stop}", f"tail{tail}{rule}", f"head{head}", f"rule{rule}{stop}", f"stop{stop}", f"caps{caps}{stop}", f"flow{flows}{low}", f"flow{flows}{s}", f"low{low}", f"share{s}", f"rep{rep}{stop}", f"rep{rep}{low}",
+        out[i] = ["b", f"page{page}{stop}", f"tail{tail}{rule}", f"head{head}", f"rule{rule}{stop}", f"stop{stop}", f"broken{len(b) > 1 and b[-1] in BREAKS and b[-2].isalpha()}{after[:1].islower()}", f"caps{caps}{stop}", f"flow{flows}{low}", f"flow{flows}{s}", f"low{low}", f"share{s}", f"rep{rep}{stop}", f"rep{rep}{low}",
             f"edge{first}{last}{page}", f"edge{first}{last}{stop}{low}{s}", f"gap{gap[0]}{gap[1]}{stop}", f"size{size}{stop}", f"words{min(len(ws), 7)}{stop}", f"rule{rule}{s}", f"nb{rules[full[at - 1]] if at else '-'}{rules[full[at + 1]] if at + 1 < len(full) else '-'}{stop}{low}", f"all{page}{tail}{head}{rule}{stop}{low}{s}"]
     return out
 
