@@ -98,7 +98,7 @@ def grade(statement: Column, options: Column) -> Column:
     texts = F.transform(options, lambda o: F.trim(o["text"]))
     n = F.coalesce(F.size(F.filter(options, lambda o: F.lit(True))), F.lit(0))
     lens = F.array_sort(F.transform(texts, lambda x: F.length(x)))
-    median, longest = F.element_at(lens, F.floor(n / 2).cast("int") + 1), F.array_max(lens)
+    median, longest = F.try_element_at(lens, F.floor(n / 2).cast("int") + 1), F.array_max(lens)
     yes_no = (n == 2) & (F.exists(texts, lambda x: F.upper(x).isin("CERTO", "ERRADO", "VERDADEIRO", "FALSO", "V", "F", "SIM", "NÃO")) | F.coalesce(F.lower(statement).rlike(r"julgue\s+os\s+itens|certo\s+ou\s+errado|verdadeiro\s+ou\s+falso"), F.lit(False)))
     twice = F.size(F.array_distinct(F.transform(options, lambda o: o["letter"]))) != n
     empty = F.exists(texts, lambda x: F.length(x) == 0)

@@ -168,3 +168,30 @@ def assign_quota(units: DataFrame, group: str, order: str, size: str, total: int
     few = (F.floor((i + 1) * total / n) > F.floor(i * total / n)).cast("bigint")
     many = (F.floor(F.lit(total) / n) + F.when(big <= F.lit(total) % n, 1).otherwise(0)).cast("bigint")
     return units.withColumn("quota", F.when(n > total, few).otherwise(many))
+
+
+def adjacent_groups(df: DataFrame, group: str, order: str, key: str, vector: str, text: str, similarity: float = 0.75, most: int = 800) -> DataFrame:
+    """(key, group_no): neighbours in order join the group before if they are similar to its first member and it is below ``most`` characters.
+
+    Sequential within a group by nature; a group is the parts of one text.
+    """
+    import numpy as np
+    import pandas as pd
+
+    types = dict(df.dtypes)
+
+    def fold_(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order, key])
+        no, first, size, out = -1, None, 0, []
+        for vec, n in zip(pdf[vector], pdf["n"]):
+            v = np.asarray(vec, dtype=float)
+            scale = np.linalg.norm(v) * (np.linalg.norm(first) if first is not None else 0)
+            near = scale > 0 and float(v @ first) / scale >= similarity
+            if not near or size >= most:
+                no, first, size = no + 1, v, 0
+            size += n
+            out.append(no)
+        return pd.DataFrame({key: pdf[key], "group_no": out})
+
+    slim = df.select(group, order, key, vector, F.length(text).alias("n"))
+    return slim.groupBy(group).applyInPandas(fold_, f"`{key}` {types[key]}, group_no int")
