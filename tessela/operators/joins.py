@@ -156,3 +156,13 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFra
     both = base.select(*cols, F.lit(0).alias("_src"), F.lit(None).cast(dict(changes.dtypes)[order]).alias("_o")).unionByName(changes.select(*cols, F.lit(1).alias("_src"), F.col(order).alias("_o")))
     rest = [c for c in cols if c != key]
     return both.groupBy(key).agg(F.max(F.struct("_src", "_o", *rest)).alias("v")).select(key, *[F.col(f"v.{c}").alias(c) for c in rest])
+
+
+def first_code(codes: Column, systems: list[str]) -> Column:
+    """The code of the first system, in order, that has one; else the first code; null without codes."""
+    found = [F.try_element_at(F.filter(codes, _starts(s)), F.lit(1)) for s in systems]
+    return F.coalesce(*found, F.try_element_at(codes, F.lit(1)))
+
+
+def _starts(system: str):
+    return lambda c: F.startswith(c, F.lit(f"{system}:"))

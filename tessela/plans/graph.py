@@ -228,3 +228,38 @@ def cascading_delete(spark: SparkSession, d: str) -> DataFrame:
 def insert_select_copy(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "cards").where("deck_id = 'dck-00-000002'").select("id", "type").distinct()
     return c.select(F.md5(F.concat(F.lit("copy"), F.col("id"))).alias("id"), F.lit("dck-copy").alias("deck_id"), "type")
+
+
+@catalog.add("left_join_empty_list", """with b as (select asset_id, list_sort(list(distinct exam_board)) boards from chunk_vectors where exam_board is not null group by 1)
+    select a.id, coalesce(b.boards, []) boards from (select distinct id from knowledge_assets) a left join b on a.id = b.asset_id""")
+def left_join_empty_list(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "chunk_vectors").where("exam_board is not null").groupBy("asset_id").agg(F.array_sort(F.collect_set("exam_board")).alias("boards"))
+    a = table(spark, d, "knowledge_assets").select("id").distinct()
+    return a.join(b, F.col("id") == F.col("asset_id"), "left").select("id", F.coalesce("boards", F.array().cast("array<string>")).alias("boards"))
+
+
+@catalog.add("card_relations", """with c as (select distinct id, deck_id from cards), q as (select d.category, count(distinct a.id) assets from decks d join knowledge_assets a on a.specialty = d.category group by 1),
+    n as (select specialty, count(distinct id) questions from extracted_questions group by 1)
+    select d.id deck_id, count(distinct c.id) cards, coalesce(max(q.assets), 0) assets, coalesce(max(n.questions), 0) questions from decks d left join c on c.deck_id = d.id left join q on q.category = d.category left join n on n.specialty = d.category group by 1""")
+def card_relations(spark: SparkSession, d: str) -> DataFrame:
+    """What belongs to a deck: its cards, and the assets and questions of its field; each side is aggregated before it is joined."""
+    decks = table(spark, d, "decks").select(F.col("id").alias("deck_id"), "category")
+    cards = table(spark, d, "cards").groupBy("deck_id").agg(F.countDistinct("id").alias("cards"))
+    assets = table(spark, d, "knowledge_assets").groupBy(F.col("specialty").alias("category")).agg(F.countDistinct("id").alias("assets"))
+    questions = table(spark, d, "extracted_questions").groupBy(F.col("specialty").alias("category")).agg(F.countDistinct("id").alias("questions"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return decks.join(cards, "deck_id", "left").join(assets, "category", "left").join(questions, "category", "left").select("deck_id", zero("cards"), zero("assets"), zero("questions"))
+
+
+@catalog.add("code_resolution", """select ref_id, coalesce(list_filter(c, lambda x: starts_with(x, 'CIX'))[1], list_filter(c, lambda x: starts_with(x, 'TUX'))[1], c[1]) code from (select ref_id, [system || ':' || code, 'ZZZ:' || ref_id] c from canonical_terms)""")
+def code_resolution(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "canonical_terms").select("ref_id", F.array(F.concat_ws(":", "system", "code"), F.concat(F.lit("ZZZ:"), F.col("ref_id"))).alias("c"))
+    return c.select("ref_id", j.first_code(F.col("c"), ["CIX", "TUX"]).alias("code"))
+
+
+@catalog.add("interval_text", "select case when d > 0 then case when d < 30 then printf('%d dias', d) when d < 365 then printf('%.1f meses', d / 30.0) else printf('%.1f anos', d / 365.0) end else '< 1 min' end shown, count(*) n from (select coalesce(any_value(sm2).interval, 0) d from cards group by id) group by 1")
+def interval_text(spark: SparkSession, d: str) -> DataFrame:
+    from tessela.operators.review import interval_text as shown
+
+    c = table(spark, d, "cards").dropDuplicates(["id"])
+    return c.groupBy(shown(F.coalesce("sm2.interval", F.lit(0)), F.lit(0)).alias("shown")).agg(F.count("*").alias("n"))
