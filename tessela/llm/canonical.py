@@ -118,13 +118,11 @@ def typed_strings(texts: DataFrame, text: str) -> DataFrame:
 
 def _segments(strings: DataFrame) -> DataFrame:
     """(s, n, i, seg): the k + 1 segments of each reference string."""
-    k = edits_allowed(F.col("n"))
-    step = F.floor(F.col("n") / (F.col("k") + 1)).cast("int")
-    last = F.col("i") == F.col("k")
+    step = "int(floor(n / (k + 1)))"
     return (
-        strings.select("s").distinct().withColumn("n", F.length("s")).withColumn("k", k)
+        strings.select("s").distinct().withColumn("n", F.length("s")).withColumn("k", edits_allowed(F.col("n")))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-        .select("s", "n", "k", "i", F.expr("substring(s, i * int(floor(n / (k + 1))) + 1, case when i = k then n else int(floor(n / (k + 1))) end)").alias("seg"))
+        .select("s", "n", "k", "i", F.expr(f"substring(s, i * {step} + 1, case when i = k then n else {step} end)").alias("seg"))
     )
 
 

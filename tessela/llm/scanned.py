@@ -232,7 +232,7 @@ def train_editor(words: list[str], known: frozenset[str], rounds: int = 3, seed:
                 if len(options) > 1:
                     p.learn(_featured(now, i, options, known, whole), right)
                 if right:
-                    _, put, n, now = options[right]
+                    _, put, _, now = options[right]
                     i += len(put)
                     at = -1
                     continue
