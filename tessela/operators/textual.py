@@ -6,8 +6,10 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -160,8 +162,6 @@ def coverage(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def assign_quota(units: DataFrame, group: str, order: str, size: str, total: int) -> DataFrame:
     """Adds ``quota`` to units: ``total`` spread evenly, extras to the largest; with fewer than units, evenly spaced ones get 1."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group)
     n, i = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
     big = F.row_number().over(w.orderBy(F.desc(size), order))
@@ -175,9 +175,6 @@ def adjacent_groups(df: DataFrame, group: str, order: str, key: str, vector: str
 
     Sequential within a group by nature; a group is the parts of one text.
     """
-    import numpy as np
-    import pandas as pd
-
     types = dict(df.dtypes)
 
     def fold_(pdf: pd.DataFrame) -> pd.DataFrame:

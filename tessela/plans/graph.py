@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessela.catalog import Catalog
 from tessela.functions.text import fold
 from tessela.operators import joins as j
+from tessela.operators import review
 from tessela.operators.components import connected_components
 from tessela.session import table
 
@@ -259,7 +260,5 @@ def code_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.add("interval_text", "select case when d > 0 then case when d < 30 then printf('%d dias', d) when d < 365 then printf('%.1f meses', d / 30.0) else printf('%.1f anos', d / 365.0) end else '< 1 min' end shown, count(*) n from (select coalesce(any_value(sm2).interval, 0) d from cards group by id) group by 1")
 def interval_text(spark: SparkSession, d: str) -> DataFrame:
-    from tessela.operators.review import interval_text as shown
-
     c = table(spark, d, "cards").dropDuplicates(["id"])
-    return c.groupBy(shown(F.coalesce("sm2.interval", F.lit(0)), F.lit(0)).alias("shown")).agg(F.count("*").alias("n"))
+    return c.groupBy(review.interval_text(F.coalesce("sm2.interval", F.lit(0)), F.lit(0)).alias("shown")).agg(F.count("*").alias("n"))
