@@ -33,14 +33,14 @@ class ListParams:
 
     dimension: int = 384
     sample: int = 20_000
-    list_size: int = 1_024
+    list_size: int = 2_048
     most_lists: int = 16_384
     copies: int = 2
     copy_ratio: float = 1.06
     probes: int = 6
     probe_ratio: float = 1.15
-    posting_block: int = 2_048
-    query_block: int = 4_096
+    posting_block: int = 8_192
+    query_block: int = 16_384
     seed: int = 7
 
 
