@@ -50,9 +50,17 @@ def dense_calendar(df: DataFrame, day: str, today: str, days: int = 60) -> DataF
 
 
 def bursts(df: DataFrame, group: list[str], ts: str, key: str, least: int, seconds: int) -> DataFrame:
-    """Rows at which their group had at least so many rows in the last seconds, with the count."""
-    w = Window.partitionBy(*group).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") >= least).select(*group, key, "in_window")
+    """Rows at which their group had at least so many rows in the last seconds, with the count.
+
+    Time is cut into pieces of that length; a row is counted in its own piece and lent to the next one, so a group with
+    very many rows is spread over as many tasks as it has pieces.
+    """
+    span = seconds * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.where(F.col(ts).isNotNull()).select(*group, key, at.alias("_at")).withColumn("_own", F.floor(F.col("_at") / span))
+    lent = rows.withColumn("_piece", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy(*group, "_piece").orderBy("_at").rangeBetween(-span, 0)
+    return lent.withColumn("in_window", F.count("*").over(w)).where((F.col("_piece") == F.col("_own")) & (F.col("in_window") >= least)).select(*group, key, "in_window")
 
 
 def repeated_run(df: DataFrame, group: list[str], order: list[Column], value: str, length: int = 3) -> DataFrame:

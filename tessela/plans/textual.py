@@ -10,6 +10,7 @@ from tessela.functions import clean as c
 from tessela.functions import vector as v
 from tessela.functions.text import fold, squeeze
 from tessela.operators import textual as t
+from tessela.operators.similarity import greatest_similarity
 from tessela.session import table
 
 catalog = Catalog()
@@ -49,16 +50,15 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 def near_duplicate_max_sim(spark: SparkSession, d: str) -> DataFrame:
     """Each new vector's greatest similarity to the stored ones of its topic."""
     e = table(spark, d, "embeddings")
-    old = e.where("vec_id % 5 = 0").select("label", F.col("embedding").alias("o"))
-    return e.where("vec_id % 5 != 0").join(old, "label").groupBy("vec_id").agg(F.round(F.max(v.cosine(F.col("embedding"), F.col("o"))), 6).alias("top"))
+    top = greatest_similarity(e.where("vec_id % 5 != 0"), e.where("vec_id % 5 = 0"), "vec_id", "label", "embedding")
+    return top.select("vec_id", F.round("top", 6).alias("top"))
 
 
 @catalog.add("dedup_drop_similar", "select vec_id from embeddings a where vec_id % 5 <> 0 and not exists (select 1 from embeddings b where b.vec_id % 5 = 0 and a.label = b.label and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3)")
 def dedup_drop_similar(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    old = e.where("vec_id % 5 = 0").select(F.col("label").alias("l"), F.col("embedding").alias("o"))
     new = e.where("vec_id % 5 != 0")
-    close = new.join(old, F.col("label") == F.col("l")).where(v.cosine(F.col("embedding"), F.col("o")) >= 0.3).select("vec_id").distinct()
+    close = greatest_similarity(new, e.where("vec_id % 5 = 0"), "vec_id", "label", "embedding").where("top >= 0.3")
     return new.join(close, "vec_id", "left_anti").select("vec_id")
 
 

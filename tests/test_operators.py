@@ -219,3 +219,18 @@ def test_signals(spark):
     now = dt.datetime(2024, 6, 1)
     df = spark.createDataFrame([("a", now, 1.0), ("a", now, 1.0), ("b", now, 1.5), ("b", now, 1.5), ("c", dt.datetime(2023, 1, 1), 9.0)], "k string, at timestamp, w double")
     assert rows(review.fired_signals(df, "k", F.lit(now), "at", F.col("w"))) == [("b", 3.0)]
+
+
+def test_greatest_similarity_in_blocks(spark):
+    import numpy as np
+
+    from tessela.operators.similarity import greatest_similarity
+
+    rng = np.random.default_rng(5)
+    new = [(i, "hot" if i % 3 else f"g{i % 5}", rng.normal(size=4).tolist()) for i in range(300)] + [(900, "hot", None), (901, "hot", [0.0] * 4), (902, "hot", [1.0]), (903, None, [1.0] * 4), (904, "alone", [1.0] * 4)]
+    old = [("hot" if i % 2 else f"g{i % 5}", rng.normal(size=4).tolist()) for i in range(200)]
+    got = {r["k"]: r["top"] for r in greatest_similarity(spark.createDataFrame(new, "k long, g string, v array<double>"), spark.createDataFrame(old, "g string, v array<double>"), "k", "g", "v", block=16).collect()}
+    for k, g, v in new[:300]:
+        mine = [np.dot(v, o) / np.linalg.norm(v) / np.linalg.norm(o) for h, o in old if h == g]
+        assert got[k] == pytest.approx(max(mine))
+    assert got[900] == got[901] == got[902] == 0 and 903 not in got and 904 not in got
