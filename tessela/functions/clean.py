@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 from tessela.functions.text import fold, squeeze
 
-# Words too common to be key terms.
-STOP_WORDS = tuple("de da do das dos em no na nos nas um uma uns umas para com por que se os as ao aos e o a é são foi ser como mais mas ou não sem sobre entre quando qual quais este esta".split())
+# Words that are no key terms.
+STOP_WORDS = (
+    "de", "da", "do", "das", "dos", "em", "na", "no", "nas", "nos", "por", "pela", "pelo", "com", "sem", "para", "que", "qual", "quais", "uma", "um", "umas", "uns", "o", "a",
+    "os", "as", "se", "esta", "este", "estao", "paciente", "anos", "quadro", "apresenta", "relata", "refere", "exame", "sobre", "como", "mais", "menos", "entre", "após", "apos",
+    "sua", "seu", "suas", "seus", "onde", "quando", "deve", "ser", "sao", "tem", "tinha",
+)
+# Folded variants and the term that is preferred.
+SYNONYMS = {
+    "falta de ar": "dispneia", "dor no peito": "dor toracica", "inchaco": "edema", "pressao alta": "hipertensao", "pressao baixa": "hipotensao", "acucar no sangue alto": "hiperglicemia",
+    "infarto": "infarto agudo do miocardio", "derrame": "acidente vascular cerebral", "ave": "acidente vascular cerebral",
+}
 
 
 def document(c: Column) -> Column:
@@ -62,9 +71,10 @@ def next_cloze(c: Column) -> Column:
 
 
 def canonical_key(system: Column, code: Column, text: Column) -> Column:
-    """system:code where both are known, else the folded text."""
+    """system:code where both are known, else the folded text or the term preferred to it."""
+    preferred = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(F.concat(blank(system), F.lit(":"), blank(code)), keywords(text))
+    return F.coalesce(F.concat(blank(system), F.lit(":"), blank(code)), preferred[keywords(text)], keywords(text))
 
 
 def mojibake(c: Column) -> Column:

@@ -114,11 +114,12 @@ def grade(statement: Column, options: Column) -> Column:
     )
 
 
-# Wordings of clinical cases and of tricks (patterns).
-AGE = r"\d{1,3}\s*(?:anos?|meses?|dias?|semanas?)"
-PATIENT = r"(?:paciente|homem|mulher|lactente|crian[çc]a|idos[oa]|gestante|primigesta|mult[ií]para|neonato|rec[eé]m-nascido|menin[oa]|jovem|adulto|senhora?)"
-CLINICAL = r"(?:d[aá]\s+entrada|procura|queixando-se|apresenta|atendido|admitido|trazido|internado|ao\s+exame|exame\s+f[ií]sico|laborat[oó]rio|eletrocardiograma|tomografia|radiografia|evoluindo)"
-TRICK = r"(?:EXCETO|INCORRETA?|ERRAD[AO]|FALS[AO])"
+# Wordings of clinical cases and of tricks (patterns), between signs that are no ASCII letters or digits.
+_HEAD, _TAIL = r"(?:^|[^0-9A-Za-z_])", r"(?:$|[^0-9A-Za-z_])"
+AGE = _HEAD + r"\d{1,3}\s*(?:anos?|meses?|dias?|semanas?)" + _TAIL
+PATIENT = _HEAD + r"(?:paciente|homem|mulher|lactente|crian[çc]a|idoso|idosa|gestante|primigesta|mult[ií]para|neonato|rec[eé]m-nascido|menino|menina|jovem|adulto|senhor|senhora)" + _TAIL
+CLINICAL = _HEAD + r"(?:d[aá]\s+entrada|procura|queixando-se|apresenta|atendido|admitido|trazido|internado|ao\s+exame|exame\s+f[ií]sico|laborat[oó]rio|eletrocardiograma|tomografia|radiografia|evoluindo)" + _TAIL
+TRICK = _HEAD + r"(?:EXCETO|INCORRETA?|ERRAD[AO]|N[ÃA]O\s+(?:CORRESPONDE|SE\s+APLICA|DEVE|CONSTITUI)|FALS[AO]|ASSINALE\s+A\s+INCORRETA)" + _TAIL
 
 
 def stats(questions: DataFrame, group: str, statement: str, letter: str) -> DataFrame:

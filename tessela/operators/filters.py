@@ -88,6 +88,8 @@ RISK_PATTERNS = (
     r"\b(iv|im)\b",
     r"\b(interaç(ão|ões)|superdosag(em|ens)|overdose|toxicidad[ee]s?)\b",
     r"\b(gestantes?|gravid[ee]z|lactantes?|amamentaç(ão|ões)|insuficiênci(a|as)\s+(renal|hepática)|ajuste\s+de\s+dose)\b",
+    r"\b(beta-bloqueador(es)?|anticoagulantes?|antiagregantes?|ieca|bras?|inibidor(es)?\s+da\s+eca|trombolíticos?|vasopressor(es)?|inotrópicos?|diuréticos?\s+de\s+alça|estatinas?|corticoides?|imunossupressores?)\b",
+    r"\b(meia-vida(\s+de\s+eliminação)?|janela\s+terapêutica|clearance|biodisponibilidad[ee]|metabolizaçã[oo]\s+hepática|eliminaçã[oo]\s+renal|pico\s+plasmático)\b",
     r"\b(primeira\s+linha|segunda\s+linha|droga\s+de\s+escolha|protocolo\s+de|conduta\s+imediata|manejo\s+inicial|esquema\s+terapêutico|linha\s+de\s+tratamento)\b",
     r"\b(escores?\s+de\s+risco|critérios?\s+de\s+gravidade|sina(l|is)\s+de\s+alarme|red\s+flags?|estratificaçã[oo]\s+de\s+risco)\b",
     r"\b(punçã[oo]|cateterismo|intubaçã[oo]|sondagem|traqueostomia|toracocentese|paracentese|arteriografia)\b",

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.functions.text import fold
-
-# Short answers that are sound, and units that make numbers sound.
-SHORT_ANSWERS = ("certo", "errado", "sim", "nao", "v", "f", "verdadeiro", "falso", "ecg", "tc", "rm", "rx", "hiv", "has", "dm", "iam", "avc", "aas")
+from tessela.functions.text import fold, squeeze
+
+# Short answers that are sound (folded), and units that make numbers sound.
+SHORT_ANSWERS = (
+    "certo", "errado", "verdadeiro", "falso", "sim", "nao", "v", "f", "bulbo", "ponte", "mesencefalo", "cerebelo", "talamo", "hipotalamo", "cortex", "medula", "figado", "rim", "rins", "baco", "timo",
+    "linfonodo", "coracao", "pulmao", "pulmoes", "estomago", "pancreas", "duodeno", "ileo", "jejuno", "colon", "reto", "anus", "apendice", "utero", "ovario", "ovarios", "testiculo", "testiculos",
+    "prostata", "bexiga", "uretra", "ureter", "tireoide", "paratireoide", "hipofise", "adrenal", "supra-renal", "pleura", "pericardio", "peritonio", "diafragma", "traqueia", "laringe", "faringe",
+    "esofago", "aorta", "veia cava", "grau i", "grau ii", "grau iii", "grau iv", "tipo 1", "tipo 2", "estagio i", "estagio ii", "estagio iii", "estagio iv", "classe i", "classe ii", "classe iii", "classe iv",
+)
 UNITS = r"(?i)(?:^|[^\p{L}\d])\d+(?:[.,/]\d+)*\s*(?:mg|g|mcg|ml|dl|l|mmhg|bpm|meq|mmol|ui|%|anos|meses|dias|horas|minutos|grau|tipo|vezes)(?:[^\p{L}]|$)|^\d+[.,/]\d+(?:\s*(?:mmhg|bpm|mg|g))?(?:/\p{L}+)?$"
 _LETTERS = r"[A-Za-zÁÀÂÃÉÊÍÓÔÕÚÇáàâãéêíóôõúç]"
 
@@ -63,16 +68,47 @@ def grounding_ok(statement: Column, answer: Column, context: Column, run: Column
     return (F.length(F.trim(src)) < 30) | (F.size(ws) == 0) | (hits >= 2) | (run >= 2) | (hits >= 0.15 * F.size(ws))
 
 
-def skip_term(c: Column, deny: tuple[str, ...] = ("outros", "geral", "outro", "nao especificado")) -> Column:
-    """Dictionary terms that say nothing: too short, numbers only, chemical symbols, or denied words."""
-    t = fold(F.trim(c))
-    return (F.length(t) < 3) | t.rlike(r"^[\d\W]+$") | F.trim(c).rlike(r"^[A-Z][a-z]?\d*[+-]?$") | t.isin(*deny)
+# Terms that say nothing (folded), as words and as patterns.
+GENERIC_TERMS = (
+    "humanos", "animais", "masculino", "feminino", "adulto", "idoso", "idosos", "lactente", "crianca", "criancas", "recem-nascido", "gravidez", "estudo", "estudos", "artigo", "relato de caso",
+    "ensaio clinico", "tecnica", "metodos", "anos", "meses", "pacientes", "paciente", "tratamento", "diagnostico", "resultado", "resultados", "pesquisa", "fator de risco", "fatores de risco",
+    "fator de risco para", "fatores de risco para", "risco", "riscos", "causa", "causas",
+)
+GENERIC = r"^(outros|outra|outras|nao especificado|nao especificada|sem outra especificacao|outras formas|outros tipos)$"
+SYMBOLS = r"^(na|k|o2|h2o|co2|fe|ca|mg|zn|cl|i|p|s|k\+)$"
+
+
+def skip_term(c: Column) -> Column:
+    """Dictionary terms that are left out: null, too short, numbers, chemical symbols and words that say nothing."""
+    t = squeeze(fold(c))
+    return F.coalesce((F.length(t) < 3) | t.isin(*GENERIC_TERMS) | t.rlike(GENERIC) | t.rlike(SYMBOLS) | t.rlike(r"^\d+$"), F.lit(True))
+
+
+# Beginnings of units that are notes, and marks of headers, footers and answer cards.
+NOTES = r"(?iu)^(material elaborado a partir|fonte:\s*|tabela\s+\d+[:\s-]|figura\s+\d+[:\s-]|refer[êe]ncias?\s*(bibliogr[áa]ficas?)?[:\s-]*$)"
+PAGE_MARKS = r"(?iu)página.*\d+\s*(de|/)\s*\d+|cart[ãa]o\s*resposta|^processo seletivo|^concurso público|^folha de prova|todos os direitos reservados|^\d+\s+\d{6,}$|^\d{7,}$|^-\s*\d+\s*-$"
+BUBBLE_ROW = r"^(?:[Oo0]?\d{1,2}|N|NA|\d{1,2}º)\s+[A-Ea-e]\s+[A-Ea-e]"
+
+
+def note_unit(c: Column) -> Column:
+    """Units that are notes and no content: blank ones, and short ones that begin like a note."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return (t == "") | (t.rlike(NOTES) & (F.length(t) < 120))
 
 
 def furniture_line(c: Column) -> Column:
-    """Lines that are no content: instructions, page marks, codes."""
+    """Lines that are headers, footers or rows of an answer card; null is none."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return t.rlike(PAGE_MARKS) | t.rlike(BUBBLE_ROW)
+
+
+def third_party(c: Column, own: tuple[str, ...] = ("manual", "próprio", "proprio", "ia local", "banco local")) -> Column:
+    """Whether a source is known and none of one's own."""
     t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return t.rlike(r"^(p[áa]gina|pág\.?)\s*\d+|^\W*\d{1,4}\W*$|^(instruções|leia atentamente|boa prova|rascunho|folha de respostas)|^(©|copyright|isbn|issn|doi:|https?://|www\.)")
+    mine = F.lit(False)
+    for word in own:
+        mine = mine | F.contains(t, F.lit(word))
+    return (t != "") & ~mine
 
 
 def blocks_in_budget(df: DataFrame, key: str, text: str, terms: list[str], budget: int, extra: int = 8) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessela.catalog import Catalog
 from tessela.operators import filters as f
 from tessela.operators import ordering as o
+from tessela.operators.validity import third_party
 from tessela.session import table
 
 catalog = Catalog()
@@ -109,9 +110,9 @@ def source_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk_vectors").where(f.contains_ci(F.col("exam_board"), "banca") & f.contains_ci(F.col("professor"), "a") & (F.col("schema_version") == "v2")).select("id").distinct()
 
 
-@catalog.add("third_party_sources", "select distinct source from documents where regexp_matches(lower(source), 'banco|forum')")
+@catalog.add("third_party_sources", "select distinct source from documents where trim(coalesce(source, '')) <> '' and not contains(lower(source), 'acervo') and not contains(lower(source), 'forum')")
 def third_party_sources(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(f.contains_ci(F.col("source"), "banco") | f.contains_ci(F.col("source"), "forum")).select("source").distinct()
+    return table(spark, d, "documents").where(third_party(F.col("source"), ("acervo", "forum"))).select("source").distinct()
 
 
 @catalog.add("risk_flags")

@@ -44,7 +44,7 @@ def distractor_grounding(spark: SparkSession, d: str) -> DataFrame:
     return q.select("id", F.round(v.grounded_share(F.col("statement"), F.col("specialty")), 6).alias("share"))
 
 
-@catalog.add("skipped_terms", "select id from terms where length(strip_accents(lower(trim(term)))) < 3 or regexp_full_match(strip_accents(lower(trim(term))), '[^a-z_]+') or regexp_full_match(trim(term), '[A-Z][a-z]?[0-9]*[+-]?') or strip_accents(lower(trim(term))) in ('outros', 'geral', 'outro', 'nao especificado')")
+@catalog.add("skipped_terms", "select id from (select id, trim(regexp_replace(strip_accents(lower(term)), '\\s+', ' ', 'g')) t from terms) where t is null or length(t) < 3 or regexp_matches(t, '^[0-9]+$') or t in (" + ", ".join(f"'{x}'" for x in v.GENERIC_TERMS) + f") or regexp_matches(t, '{v.GENERIC}') or regexp_matches(t, '{v.SYMBOLS}')")
 def skipped_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "terms").where(v.skip_term(F.col("term"))).select("id")
 
@@ -55,6 +55,12 @@ def furniture_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.where(v.furniture_line(F.col("t"))).select("asset_id", "line")
 
 
+@catalog.add("content_units")
+def content_units(spark: SparkSession, d: str) -> DataFrame:
+    u = t.coverage(table(spark, d, "asset_texts"), ["asset_id"], "conteudo_texto")
+    return u.where(~v.note_unit(F.col("unit"))).groupBy("asset_id").agg(F.count("*").alias("units"), F.sum("words").alias("words"))
+
+
 @catalog.add("relevant_context")
 def relevant_context(spark: SparkSession, d: str) -> DataFrame:
     return v.blocks_in_budget(table(spark, d, "asset_texts"), "asset_id", "conteudo_texto", ["tratamento", "gestantes", "febre"], 3_500)

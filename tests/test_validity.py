@@ -54,7 +54,7 @@ def test_balanced_letters(spark):
 def test_small_rules(spark):
     assert [_one(spark, v.cycle_of(F.lit(a), F.lit(b))) for a, b in ((1, 1), (9, 1), (1, 9), (5, 5))] == ["mixed", "basic", "clinical", "mixed"]
     assert [_one(spark, v.bands(F.lit(x))) for x in (0.1, 0.3, 0.5, 0.7, 0.9)] == ["baixa", "media", None, "alta", "muito alta"]
-    assert [_one(spark, v.skip_term(F.lit(x))) for x in ("ab", "123", "Na+", "Outros", "asma")] == [True, True, True, True, False]
+    assert [_one(spark, v.skip_term(F.lit(x))) for x in ("ab", "123", "h2o", "Outros", "Fatores de risco", "asma")] == [True, True, True, True, True, False]
     assert _one(spark, v.anchoring(F.lit(0), F.lit(0))) == pytest.approx(0.3)
 
 
@@ -69,3 +69,9 @@ def test_best_parent_ties_take_the_first(spark):
     t = spark.createDataFrame([("g", "dor torácica aguda")], "g string, theme string")
     p = spark.createDataFrame([("g", "dor aguda", 2), ("g", "aguda dor", 1), ("h", "dor torácica aguda", 0)], "g string, topic string, o int")
     assert rows(v.best_parent(t, "theme", p, "topic", "o", "g")) == [(2, "dor torácica aguda", "aguda dor")]
+
+
+def test_notes_and_lines(spark):
+    assert [_one(spark, v.note_unit(F.lit(x))) for x in ("Fonte: autor", "Tabela 1: valores", "  ", "Texto comum", "Referências")] == [True, True, True, False, True]
+    assert [_one(spark, v.furniture_line(F.lit(x))) for x in ("Página 3 de 10", "- 4 -", "CARTÃO RESPOSTA", "01 A B C D E", "1234567", "A página em branco")] == [True, True, True, True, True, False]
+    assert [_one(spark, v.third_party(F.lit(x))) for x in ("Banco Local", " ", "Editora X")] == [False, False, True]
