@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessela.functions.clean import keywords
 from tessela.operators.joins import small_or_shuffled
+from tessela.session import spread
 
 #: Words of the longest dictionary entry that is looked for.
 LONGEST = 8
@@ -33,7 +34,7 @@ def ngram_matches(texts: DataFrame, key: str, text: str, entries: DataFrame, lon
     """(key, first, last, norm, code): dictionary entries in the texts by word places, overlapping ones included."""
     words = entries.agg(F.max(F.size(F.split("norm", " "))).alias("n")).first()["n"] or 0
     longest = max(1, min(longest, words))
-    toks = texts.select(F.col(key), F.split(keywords(F.coalesce(F.col(text), F.lit(""))), " ").alias("w"))
+    toks = spread(texts.select(key, text)).select(F.col(key), F.split(keywords(F.coalesce(F.col(text), F.lit(""))), " ").alias("w"))
     grams = toks.select(key, F.posexplode(F.expr(f"transform(w, (x, i) -> transform(sequence(1, least({longest}, size(w) - i)), n -> struct(int(i) as first, int(i + n - 1) as last, array_join(slice(w, i + 1, n), ' ') as norm)))")).alias("p", "gs"))
     flat = grams.select(key, F.explode("gs").alias("g")).select(key, "g.*").where("norm != ''")
     return flat.join(small_or_shuffled(entries.select("norm", "code")), "norm").select(key, "first", "last", "norm", "code")
@@ -84,7 +85,7 @@ def automaton_matches(texts: DataFrame, key: str, text: str, entries: DataFrame)
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], [key, "first", "last", "norm", "code"])
 
-    return texts.select(key, keywords(F.coalesce(F.col(text), F.lit(""))).alias("t")).mapInArrow(run, f"`{key}` {kind}, first int, last int, norm string, code string")
+    return spread(texts.select(key, text)).select(key, keywords(F.coalesce(F.col(text), F.lit(""))).alias("t")).mapInArrow(run, f"`{key}` {kind}, first int, last int, norm string, code string")
 
 
 def coverage_ratio(texts: DataFrame, key: str, text: str, matches: DataFrame) -> DataFrame:
