@@ -1,30 +1,36 @@
-"""Near-duplicate records by deletion-variant signatures.
-
-A record is its set of distinct words.  Its signature holds the bits of its selective words: those in at
-least two and at most ``most`` records.  The signature is cut into ``segments`` by a hash of the word; if two
-signatures differ in at most ``2 * segments - 1`` bits, some segment differs by at most one bit, so the
-variants of that segment with no bit or one bit left out meet in an equality join.  Candidates are verified
-twice: by a parity sketch, whose Hamming distance never exceeds the number of differing words and so loses
-nothing, and by the exact share of common words.
+"""Near-duplicate records by common selective words, and by deletion variants where there are none.
+
+A record is its set of distinct words.  Selective words are those in at least two and at most ``most`` records: pairs
+that hold one in common meet in an equality join on it.  The other pairs must agree in nearly all of their common words,
+so these are cut into segments of which one differs by at most one word; its variants with no word or one word left out
+meet in another equality join.  Both together lose no pair.  Candidates are verified twice: by a parity sketch, whose
+Hamming distance never exceeds the number of differing words and so loses nothing, and by the exact share of common
+words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessela.functions.text import fold, words
 from tessela.operators.components import connected_components
 from tessela.session import cut_lineage
 
-SEGMENTS = 8
-#: Records that may hold a selective word; it bounds the rows that meet on one variant.
+#: Records that may hold a selective word; it bounds the rows that meet on one.
 MOST = 64
-#: A record with fewer selective words than this is searched exactly by its prefix.
-LEAST_SELECTIVE = 3
+#: Numbers of segments; a record takes the least one that its differing words allow, or their own number beyond the last.
+LEVELS = (1, 2, 3, 4, 6, 9, 13, 20, 30, 45, 68)
 #: Words in more than this share of the records are set aside before the shuffle; at most 1 / share x words per record are.
 HEAVY_SHARE = 0.001
 SKETCH_LONGS = 4
+SKETCHES = [f"k{j}" for j in range(SKETCH_LONGS)]
 
 # Names that the letter of an option may have in JSON.
 LETTER_NAMES = ("letter", "letra", "label", "id", "key", "opcao", "alternativa", "option")
@@ -62,33 +68,22 @@ def word_classes(records: DataFrame, key: str, text: list[Column]) -> tuple[Data
     return sets, members
 
 
-def similar_classes(sets: DataFrame, similarity: float, segments: int = SEGMENTS, most: int = MOST, least_selective: int = LEAST_SELECTIVE) -> DataFrame:
+def similar_classes(sets: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
     """(a, b, similarity): pairs of classes with at least this share of common words; a < b."""
     docs = sets.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
     docs = docs.select("rep", "n", "ws", *[_sketch(F.col("hs"), j).alias(f"k{j}") for j in range(SKETCH_LONGS)])
+    sketched = docs.drop("ws")
     posts = sets.select("rep", F.explode("ws").alias("w"))
     counts = posts.groupBy("w").agg(F.count("*").alias("df"))
-    heavy = counts.join(F.broadcast(sets.agg(F.greatest(F.count("*") * HEAVY_SHARE, F.lit(float(most))).alias("limit"))), F.col("df") > F.col("limit")).select("w")
-    light = posts.join(F.broadcast(heavy), "w", "left_anti")
-    selective = counts.where((F.col("df") >= 2) & (F.col("df") <= most)).select("w")
-    signed = light.join(selective, "w").groupBy("rep").agg(F.array_sort(F.collect_list(F.xxhash64("w"))).alias("sig"))
-    sketches = [f"k{j}" for j in range(SKETCH_LONGS)]
-    index = (
-        signed.join(docs.select("rep", "n", *sketches), "rep")
-        .withColumn("seg", F.explode(F.sequence(F.lit(0), F.lit(segments - 1))))
-        .withColumn("bits", F.expr(f"filter(sig, x -> pmod(x, {segments}) = seg)")).where("size(bits) > 0")
-        .withColumn("variant", F.explode(F.expr("case when size(bits) = 1 then array(bits) else concat(array(bits), transform(sequence(0, size(bits) - 1), i -> filter(bits, (x, j) -> j != i))) end")))
-        .select("rep", "n", *sketches, F.xxhash64("seg", "variant").alias("v"))
-    )
-    distance = lambda x, y: sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in sketches), F.lit(0))
+    heavy = counts.join(F.broadcast(sets.agg(F.greatest(F.count("*") * HEAVY_SHARE, F.lit(float(most))).alias("limit"))), F.col("df") > F.col("limit")).select("w", "df")
+    light = posts.join(F.broadcast(heavy.select("w")), "w", "left_anti").join(counts.where("df >= 2"), "w")
+    distance = lambda x, y: sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in SKETCHES), F.lit(0))
     slack = (1 - similarity) / (1 + similarity)
-    x, y = index.alias("x"), index.alias("y")
-    col = lambda t: {c: F.col(f"{t}.{c}") for c in ["rep", "n", *sketches]}
-    cx, cy = col("x"), col("y")
+    cx, cy = ({c: F.col(f"{t}.{c}") for c in ["rep", "n", *SKETCHES]} for t in "xy")
     near = (distance(cx, cy) <= F.floor((cx["n"] + cy["n"]) * slack + 1e-9)) & (F.least(cx["n"], cy["n"]) >= similarity * F.greatest(cx["n"], cy["n"]) - 1e-9)
-    pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (cx["rep"] < cy["rep"]) & near).select(cx["rep"].alias("a"), cy["rep"].alias("b")).distinct()
-    poor = docs.join(signed.where(F.size("sig") >= least_selective).select("rep"), "rep", "left_anti")
-    pairs = pairs.unionByName(_by_prefix(poor, docs, counts, posts, similarity, near)).distinct()
+    index = light.where(F.col("df") <= most).select("rep", F.xxhash64("w").alias("v")).join(sketched, "rep")
+    pairs = index.alias("x").join(index.alias("y"), (F.col("x.v") == F.col("y.v")) & (cx["rep"] < cy["rep"]) & near).select(cx["rep"].alias("a"), cy["rep"].alias("b"))
+    pairs = pairs.unionByName(_without_selective(sketched, posts, light.where(F.col("df") > most), heavy, similarity, near)).distinct()
     left, right = docs.select(F.col("rep").alias("a"), F.col("ws").alias("wa")), docs.select(F.col("rep").alias("b"), F.col("ws").alias("wb"))
     common = F.size(F.array_intersect("wa", "wb"))
     return (
@@ -98,18 +93,51 @@ def similar_classes(sets: DataFrame, similarity: float, segments: int = SEGMENTS
     )
 
 
-def _by_prefix(poor: DataFrame, docs: DataFrame, counts: DataFrame, posts: DataFrame, similarity: float, near: Column) -> DataFrame:
-    """The exact way for records with few selective words: whoever is similar holds one of the record's rarest words."""
-    sketches = [f"k{j}" for j in range(SKETCH_LONGS)]
-    ranked = (
-        poor.select("rep", "n", F.explode("ws").alias("w")).join(counts, "w").groupBy("rep", "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda s: s["w"]).alias("ordered"))
-        .select("rep", F.explode(F.slice("ordered", F.lit(1), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)).alias("w"))
-    )
-    met = ranked.withColumnRenamed("rep", "p").join(posts.withColumnRenamed("rep", "q"), "w").where("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    x = docs.select(F.col("rep").alias("a"), F.struct("rep", "n", *sketches).alias("x"))
-    y = docs.select(F.col("rep").alias("b"), F.struct("rep", "n", *sketches).alias("y"))
-    return met.join(x, "a").join(y, "b").where(near).select("a", "b")
+def _variants(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each segment of a record, empty ones too, and with ``short`` one more for each word left out.
+
+    A segment is known by the exclusive or of its words, from which a word is left out by the same step.
+    """
+    for whole in batches:
+        for at in range(0, len(whole), 2048):
+            b = whole.slice(at, 2048)
+            hs, ats = b.column("hs"), b.column("ats")
+            m = b.column("m").to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(b)), hs.value_lengths().to_numpy())
+            first = np.cumsum(m) - m
+            segment = np.repeat(np.arange(len(b)), m)
+            salt = (m[segment] << 32 | np.arange(len(segment)) - first[segment]) * np.int64(0x1E3779B97F4A7C15)
+            h, slot = hs.flatten().to_numpy(), first[doc] + ats.flatten().to_numpy() % m[doc]
+            v = np.zeros(len(segment), np.int64)
+            np.bitwise_xor.at(v, slot, h)
+            v ^= salt
+            rows, keys = (np.concatenate([segment, doc]), np.concatenate([v, v[slot] ^ h])) if short else (segment, v)
+            out = b.select([c for c in b.schema.names if c not in ("m", "hs", "ats")]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(keys), pa.array(np.arange(len(rows)) >= len(segment))], [*out.schema.names, "v", "short"])
+
+
+def _without_selective(docs: DataFrame, posts: DataFrame, middle: DataFrame, heavy: DataFrame, similarity: float, near: Column) -> DataFrame:
+    """(a, b): every near pair that has no selective word in common, and others.
+
+    All words that are not in ``most`` + 1 records at least then count as different, s of a record's n.  The others differ
+    in at most e(a) + e(b) words, where e = n x slack - s, so of m > e segments one differs by at most one word.  A pair
+    meets on the segments of the record with the greater e, so each record is cut for the levels above its own too.
+    """
+    slack = (1 - similarity) / (1 + similarity)
+    # Words go round the segments by frequency, so that each segment has its share of the rarer ones.
+    place = F.row_number().over(Window.orderBy("df", "w")).cast("long")
+    words_ = middle.select("rep", "w", F.xxhash64("w").alias("at")).unionByName(posts.join(F.broadcast(heavy.select("w", place.alias("at"))), "w").select("rep", "w", "at"))
+    kept = words_.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("w").alias("h"), "at"))).alias("bits"))
+    level = F.coalesce(*[F.when(F.col("e") < m, m) for m in LEVELS], F.floor("e").cast("int") + 1)
+    cut = cut_lineage(docs.join(kept, "rep").withColumn("e", F.col("n") * slack + 1e-6 - F.col("n") + F.size("bits")).withColumn("own", level))
+    levels = cut.groupBy("own").agg(F.min("n").alias("least"), F.max("n").alias("greatest"), F.max("e").alias("top")).withColumnRenamed("own", "m")
+    reach = (F.col("own") <= F.col("m")) & (F.col("n") >= F.col("least") * similarity - 1e-9) & (F.col("n") * similarity - 1e-9 <= F.col("greatest")) & (F.col("e") + F.col("top") >= 0)
+    parts = cut.join(F.broadcast(levels), reach).select("rep", "n", "e", *SKETCHES, (F.col("own") == F.col("m")).alias("native"), "m", F.col("bits.h").alias("hs"), F.col("bits.at").alias("ats"))
+    schema = T.StructType([*parts.drop("m", "hs", "ats").schema.fields, T.StructField("v", T.LongType()), T.StructField("short", T.BooleanType())])
+    whole, either = (parts.mapInArrow(functools.partial(_variants, short=s), schema) for s in (False, True))
+    x, y = F.col("x.rep"), F.col("y.rep")
+    meet = (F.col("x.v") == F.col("y.v")) & (x != y) & (F.col("y.short") | (x < y)) & (F.col("x.native") | F.col("y.native")) & (F.col("x.e") + F.col("y.e") >= 0)
+    return whole.alias("x").join(either.alias("y"), meet & near).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
 def duplicate_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

@@ -70,3 +70,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     sets, members = word_classes(df, "id", [F.col("statement")])
     assert rows(duplicate_groups(similar_classes(sets, 0.6), members)) == []
+
+
+def test_many_copies_with_other_selective_words(spark):
+    """Copies whose own words are too common to be selective, and whose selective words are other ones each."""
+    rng = random.Random(3)
+    base = [f"grupo{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        kept = rng.sample(base, 53)
+        texts.append((f"g{i:03}", " ".join(kept + [f"par{i // 2 if i % 2 else i // 2 + 100}x{k}" for k in range(4)])))
+        texts.append((f"h{i:03}", " ".join([f"par{i // 2 if i % 2 else i // 2 + 100}x{k}" for k in range(4)] + [f"outro{i}x{k}" for k in range(20)])))
+    got, _, _ = _found(spark, texts)
+    assert got == _brute(texts) and len(got) > 5_000
