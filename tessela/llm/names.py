@@ -1,8 +1,8 @@
 """Variant spellings of the names of people and organisations.
 
-The selective words of each name are hashed by MinHash over padded q-grams; the number of bands comes from the
-collision curve and the recall wanted for words one edit apart.  Names that share a similar selective word, or
-two common words, are verified by a Monge-Elkan similarity that knows initials, abbreviations and nicknames, and
+The words of each name are hashed by MinHash over padded q-grams; the number of bands comes from the collision curve
+and the recall wanted for words one edit apart.  Names that share a similar selective word, or a similar common word
+and the initial of a second word, are verified by a Monge-Elkan similarity that knows initials, abbreviations and nicknames, and
 linked names are clustered by star clustering: the fullest, most used name of a neighbourhood is its centre.
 """
 
@@ -35,7 +35,7 @@ NICKNAMES = {
 
 #: Likeness of a word and its initial or abbreviation; no 1 - edits / length is equal to it.
 SHORTENED = 0.891
-#: Names that may hold a selective word; names that share only commoner words must share two of them.
+#: Names that may hold a selective word; names alike in commoner words only must agree in a second word or its initial.
 MOST = 200
 Q = 3
 ROWS = 3
@@ -173,23 +173,41 @@ def similar_names(classes: DataFrame, threshold: float = 0.8, most: int = MOST,
     uses = words_.groupBy("field", "w").agg(F.count("*").alias("df"))
     held = words_.join(uses, ["field", "w"])
     rare = held.where(F.col("df") <= most).select("field", "rep", "w")
-    keys = _band_keys(uses.where(F.col("df") <= most).select("w").distinct(), rows, bands)
+    keys = _band_keys(uses.select("w").distinct(), rows, bands)
     x, y = keys.alias("x"), keys.alias("y")
     near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.w") < F.col("y.w"))).select(F.col("x.w").alias("w"), F.col("y.w").alias("v")).where("abs(length(w) - length(v)) <= 2").distinct()
     near = near.where(_word_likeness("w", "v") > 0)
-    same = uses.where(F.col("df") <= most).select("w").distinct().withColumn("v", F.col("w"))
+    same = uses.select("w").distinct().withColumn("v", F.col("w"))
     alike = cut_lineage(near.unionByName(near.select(F.col("v").alias("w"), F.col("w").alias("v"))).unionByName(same))
     met = rare.join(alike, "w").select("field", F.col("rep").alias("a"), F.col("v").alias("w")).join(rare.select("field", F.col("rep").alias("b"), "w"), ["field", "w"]).where("a < b").select("field", "a", "b")
-    common = held.where(F.col("df") > most).groupBy("field", "rep").agg(F.array_sort(F.collect_set("w")).alias("cs")).where("size(cs) > 1")
-    couples = common.select("field", "rep", F.explode(F.expr("flatten(transform(sequence(0, size(cs) - 2), i -> transform(slice(cs, i + 2, size(cs)), c -> concat(cs[i], ' ', c))))")).alias("couple"))
-    bare = couples.join(rare.select("field", "rep").distinct(), ["field", "rep"], "left_anti")  # names with a selective word are found by it
-    met2 = bare.alias("m").join(couples.alias("n"), ["field", "couple"]).select("field", F.least("m.rep", "n.rep").alias("a"), F.greatest("m.rep", "n.rep").alias("b")).where("a != b")
+    met2 = _by_common_word(classes, uses, alike, most)
     pairs = met.unionByName(met2).distinct()
     left = classes.select("field", F.col("rep").alias("a"), F.col("ws").alias("wa"))
     right = classes.select("field", F.col("rep").alias("b"), F.col("ws").alias("wb"))
     return pairs.join(left, ["field", "a"]).join(right, ["field", "b"]).withColumn("likeness", _name_likeness("wa", "wb")).where(F.col("likeness") >= threshold).select("field", "a", "b", "likeness")
 
 
+def _by_common_word(classes: DataFrame, uses: DataFrame, alike: DataFrame, most: int) -> DataFrame:
+    """(field, a, b): names alike in a word of at least four letters that is in more than ``most`` names on one side.
+
+    All words of the shorter name have a partner, so unless it has one word only, a second word agrees, and that with the
+    initial of the partner or of a word like the partner: only names that agree in this too are compared.
+    """
+    at = classes.select("field", F.col("rep").alias("r"), F.size("ws").alias("n"), F.posexplode("ws").alias("i", "w"))
+    initial = lambda c: F.substring(c, 1, 1)
+    own = at.select("field", "r", "i", initial("w").alias("c"))
+    wide = own.unionByName(at.join(alike, "w").select("field", "r", "i", initial("v").alias("c"))).distinct()
+    long = at.where("length(w) >= 4")
+    df, dv = uses.select("field", "w", "df"), uses.select("field", F.col("w").alias("v"), F.col("df").alias("dv"))
+    hot = alike.where("length(w) >= 4 and length(v) >= 4").join(df, "w").join(dv, ["field", "v"]).where(F.greatest("df", "dv") > most).select("field", "w", "v")
+    left = long.join(hot, ["field", "w"]).select("field", F.col("r").alias("l"), "n", F.col("i").alias("li"), "v")
+    right = long.join(hot.select("field", F.col("v").alias("w")).distinct(), ["field", "w"]).select("field", "r", F.col("i").alias("ri"), F.col("w").alias("v"))
+    second = lambda side, others, r, i: side.join(others.select("field", F.col("r").alias(r), "i", "c"), ["field", r]).where(F.col("i") != F.col(i)).select("field", r, "v", "c").distinct()
+    two = second(left.drop("n"), own, "l", "li").join(second(right, wide, "r", "ri"), ["field", "v", "c"]).select("field", "l", "r")
+    one = left.where("n = 1").select("field", "l", "v").join(right, ["field", "v"]).select("field", "l", "r")
+    return two.unionByName(one).where("l != r").select("field", F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+
+
 def star_clusters(classes: DataFrame, links: DataFrame, most_rounds: int = 30) -> DataFrame:
     """(field, rep, centre): each class with the centre of its star.
 

@@ -50,3 +50,13 @@ def test_hot_word_and_no_links(spark):
     links = similar_names(classes, most=20)
     assert links.count() < 144 * 10
     assert star_clusters(classes, links.limit(0)).where("rep = centre").count() == classes.count()
+
+
+def test_common_words_with_a_typo_or_an_initial(spark):
+    """Given name and surname are both held by more names than ``most``; their variants are candidates nevertheless."""
+    names = [f"Maria {x}{y}lotrivu" for x in "bcdfg" for y in "aeiou"] + [f"{x}{y}pedrinque Santos" for x in "bcdfg" for y in "aeiou"] + ["Maria Santos", "Mraia Santos", "M. Santos", "Naria Santos", "Santos"]
+    _, classes = name_classes(spark.createDataFrame([(n,) for n in names], "p string"), {"p": True})
+    links = {(r["a"], r["b"]) for r in similar_names(classes, most=10).collect()}
+    every = {r["rep"]: r["ws"] for r in classes.collect()}
+    assert links == {(a, b) for a in every for b in every if a < b and name_likeness(every[a], every[b]) >= 0.8}
+    assert {("m santos", "maria santos"), ("maria santos", "mraia santos"), ("maria santos", "naria santos")} <= links
