@@ -1,40 +1,51 @@
-"""Near-duplicate records by common selective words, and by deletion variants where there are none.
-
-A record is its set of distinct words.  Selective words are those in at least two and at most ``most`` records: pairs
-that hold one in common meet in an equality join on it.  The other pairs must agree in nearly all of their common words,
-so these are cut into segments of which one differs by at most one word; its variants with no word or one word left out
-meet in another equality join.  Both together lose no pair.  Candidates are verified twice: by a parity sketch, whose
-Hamming distance never exceeds the number of differing words and so loses nothing, and by the exact share of common
-words.
+"""Near-duplicate records by common selective words, and by deletion variants of segments where there are none.
+
+A record is its set of distinct words.  Words that few records hold are selective: pairs that hold one in common meet in
+an equality join on it.  All selective words of the other pairs differ, so these can differ in few of their frequent words
+only: the frequent words are cut into segments, so few that one of them differs by at most one word, and the segments with
+no word or one word left out meet in the same join.  Together this loses no pair.  Candidates are verified twice: by a
+parity sketch, whose Hamming distance never exceeds the number of differing words and so loses nothing, and by the exact
+share of common words.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessela.functions.text import fold, words
+from tessela.functions.text import MARKED, PLAIN
 from tessela.operators.components import connected_components
 from tessela.session import cut_lineage
 
-#: Records that may hold a selective word; it bounds the rows that meet on one.
-MOST = 64
-#: Numbers of segments; a record takes the least one that its differing words allow, or their own number beyond the last.
-LEVELS = (1, 2, 3, 4, 6, 9, 13, 20, 30, 45, 68)
-#: Words in more than this share of the records are set aside before the shuffle; at most 1 / share x words per record are.
-HEAVY_SHARE = 0.001
-SKETCH_LONGS = 4
-SKETCHES = [f"k{j}" for j in range(SKETCH_LONGS)]
+#: Pairs that meet on selective words, for each record: it decides from how many records on a word counts as frequent.
+PAIRS = 400
+#: Frequent words, at most: they are sent to the executors.
+MOST_FREQUENT = 1_000_000
+#: Share of the records of a size that may need more segments than the others of this size are cut into.
+UPPER = 0.1
+#: Keys of the records with more segments that are sent to the executors, at most, to spare the others' rows a shuffle.
+MOST_KEYS = 2_000_000
+#: Copies of one record that are paired within one task.
+COPIES = 1_000
+LONGS = 3
+SKETCH = [f"k{j}" for j in range(LONGS)]
+#: Numbers of segments that records are cut into.
+LEVELS = np.array(sorted({*range(1, 13), *(math.ceil(12 * 1.15**i) for i in range(100))}))
 
 # Names that the letter of an option may have in JSON.
 LETTER_NAMES = ("letter", "letra", "label", "id", "key", "opcao", "alternativa", "option")
 
+_WORD = re.compile(r"[^\W_]+")
+
 
 def option_texts(options_json: Column) -> Column:
     """The texts of an options array, whatever its objects call them; broken JSON has none."""
@@ -42,114 +53,263 @@ def option_texts(options_json: Column) -> Column:
     return F.array_join(F.transform(parsed, lambda m: F.array_join(F.map_values(F.map_filter(m, lambda k, v: ~F.lower(k).isin(*LETTER_NAMES) & v.isNotNull())), " ")), " ")
 
 
-def word_set(*texts: Column) -> Column:
-    """The distinct words of the texts, in lower case without accents, sorted."""
-    return F.array_sort(F.array_distinct(words(fold(F.concat_ws(" ", *texts)))))
+@functools.cache
+def _plain() -> dict[int, str | None]:
+    """Letters with a mark to those without, marks to nothing."""
+    return {i: None for i in range(0x110000) if unicodedata.category(chr(i))[0] == "M"} | str.maketrans(MARKED, PLAIN)
+
+
+_hashes: dict[str, int] = {}
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """The hashes of the distinct words of a text in lower case without accents, in order."""
+    low = text.lower()
+    ws = set(_WORD.findall(low if low.isascii() else low.translate(_plain())))
+    if len(_hashes) > 500_000:
+        _hashes.clear()
+    get = _hashes.get
+    out = np.empty(len(ws), np.uint64)
+    for i, w in enumerate(ws):
+        h = get(w)
+        if h is None:
+            h = _hashes[w] = xxhash.xxh64_intdigest(w)
+        out[i] = h
+    out.sort()
+    return out
+
+
+def _parity(hs: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """n x LONGS longs: the parity of the words of each record at each of their bits."""
+    bits = LONGS * 64
+    odd = np.bincount(doc * bits + ((hs >> np.uint64(7)) % np.uint64(bits)).astype(np.int64), minlength=n * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
 
 
-def _sketch(hashes: Column, j: int) -> Column:
-    """The j-th long of the parity sketch."""
-    bit = lambda h: F.when(F.pmod(F.shiftright(h, 6), F.lit(SKETCH_LONGS)) == j, F.expr("1L")).otherwise(F.expr("0L"))
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", bit(h), F.pmod(h, F.lit(64)).cast("int"))))
+def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """(id, rep), or with ``whole`` (rep, d, n, sketch, hs); rows without a word are left out."""
+    for big in batches:
+        for at in range(0, len(big), 2048):
+            b = big.slice(at, 2048)
+            sets = [word_hashes(t or "") for t in b.column(1).to_pylist()]
+            live = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+            sets = [sets[i] for i in live]
+            marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            rep = pa.array(marks, pa.binary())
+            if not whole:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(live)), rep], ["id", "rep"])
+                continue
+            n = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            sketch = _parity(flat, np.repeat(np.arange(len(sets)), n), len(sets))
+            hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]), pa.int32()), pa.array(flat.view(np.int64)))
+            d = np.array([int.from_bytes(m[:8], "little", signed=True) for m in marks], np.int64)
+            yield pa.RecordBatch.from_arrays([rep, pa.array(d), pa.array(n), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(LONGS)), hs], ["rep", "d", "n", *SKETCH, "hs"])
 
 
 def word_classes(records: DataFrame, key: str, text: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """(rep, n, ws), one row for each distinct word set, and (id, rep), one row for each record.
+    """(rep, d, n, sketch, hs), one row for each distinct word set, and (id, rep), one row for each record.
 
-    Rows without any word are in no class.
+    ``rep`` is a hash of the whole set (128 bits), d the first half of it, hs the hashes of the words.  Rows without a
+    key or without any word are in no class.
     """
-    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), word_set(*text).alias("ws"))
-    # Taking texts to words is the dear part: it is done once for the members and once for the sets, and no filter on its
-    # result is left to be pushed below it, where it would be done again.
-    hashed = cut_lineage(rows.select("id", F.sha2(F.array_join("ws", " "), 256).alias("h")).distinct()).where(F.col("h") != F.sha2(F.lit(""), 256))
-    reps = hashed.groupBy("h").agg(F.min("id").alias("rep"))
-    members = hashed.join(reps, "h").select("id", "rep")
-    sets = rows.join(reps.select("rep"), F.col("id") == F.col("rep")).select("rep", "ws").dropDuplicates(["rep"]).withColumn("n", F.size("ws"))
-    return sets, members
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.concat_ws(" ", *text).alias("t"))
+    kind = dict(rows.dtypes)["id"]
+    members = rows.mapInArrow(functools.partial(_read, whole=False), f"id {kind}, rep binary").distinct()
+    sets = rows.mapInArrow(functools.partial(_read, whole=True), "rep binary, d long, n long, " + ", ".join(f"{k} long" for k in SKETCH) + ", hs array<long>")
+    return sets.dropDuplicates(["rep"]), members
 
 
-def similar_classes(sets: DataFrame, similarity: float, most: int = MOST) -> DataFrame:
-    """(a, b, similarity): pairs of classes with at least this share of common words; a < b."""
-    docs = sets.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
-    docs = docs.select("rep", "n", "ws", *[_sketch(F.col("hs"), j).alias(f"k{j}") for j in range(SKETCH_LONGS)])
-    sketched = docs.drop("ws")
-    posts = sets.select("rep", F.explode("ws").alias("w"))
-    counts = posts.groupBy("w").agg(F.count("*").alias("df"))
-    heavy = counts.join(F.broadcast(sets.agg(F.greatest(F.count("*") * HEAVY_SHARE, F.lit(float(most))).alias("limit"))), F.col("df") > F.col("limit")).select("w", "df")
-    light = posts.join(F.broadcast(heavy.select("w")), "w", "left_anti").join(counts.where("df >= 2"), "w")
-    distance = lambda x, y: sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in SKETCHES), F.lit(0))
-    slack = (1 - similarity) / (1 + similarity)
-    cx, cy = ({c: F.col(f"{t}.{c}") for c in ["rep", "n", *SKETCHES]} for t in "xy")
-    near = (distance(cx, cy) <= F.floor((cx["n"] + cy["n"]) * slack + 1e-9)) & (F.least(cx["n"], cy["n"]) >= similarity * F.greatest(cx["n"], cy["n"]) - 1e-9)
-    index = light.where(F.col("df") <= most).select("rep", F.xxhash64("w").alias("v")).join(sketched, "rep")
-    pairs = index.alias("x").join(index.alias("y"), (F.col("x.v") == F.col("y.v")) & (cx["rep"] < cy["rep"]) & near).select(cx["rep"].alias("a"), cy["rep"].alias("b"))
-    pairs = pairs.unionByName(_without_selective(sketched, posts, light.where(F.col("df") > most), heavy, similarity, near)).distinct()
-    left, right = docs.select(F.col("rep").alias("a"), F.col("ws").alias("wa")), docs.select(F.col("rep").alias("b"), F.col("ws").alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    return (
-        pairs.join(left, "a").join(right, "b").withColumn("common", common)
-        .select("a", "b", (F.col("common") / (F.size("wa") + F.size("wb") - F.col("common"))).alias("similarity"))
-        .where(F.col("similarity") >= similarity)
-    )
-
-
-def _variants(batches: Iterator[pa.RecordBatch], short: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each segment of a record, empty ones too, and with ``short`` one more for each word left out.
-
-    A segment is known by the exclusive or of its words, from which a word is left out by the same step.
-    """
-    for whole in batches:
-        for at in range(0, len(whole), 2048):
-            b = whole.slice(at, 2048)
-            hs, ats = b.column("hs"), b.column("ats")
-            m = b.column("m").to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(len(b)), hs.value_lengths().to_numpy())
-            first = np.cumsum(m) - m
-            segment = np.repeat(np.arange(len(b)), m)
-            salt = (m[segment] << 32 | np.arange(len(segment)) - first[segment]) * np.int64(0x1E3779B97F4A7C15)
-            h, slot = hs.flatten().to_numpy(), first[doc] + ats.flatten().to_numpy() % m[doc]
-            v = np.zeros(len(segment), np.int64)
-            np.bitwise_xor.at(v, slot, h)
-            v ^= salt
-            rows, keys = (np.concatenate([segment, doc]), np.concatenate([v, v[slot] ^ h])) if short else (segment, v)
-            out = b.select([c for c in b.schema.names if c not in ("m", "hs", "ats")]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(keys), pa.array(np.arange(len(rows)) >= len(segment))], [*out.schema.names, "v", "short"])
-
-
-def _without_selective(docs: DataFrame, posts: DataFrame, middle: DataFrame, heavy: DataFrame, similarity: float, near: Column) -> DataFrame:
-    """(a, b): every near pair that has no selective word in common, and others.
-
-    All words that are not in ``most`` + 1 records at least then count as different, s of a record's n.  The others differ
-    in at most e(a) + e(b) words, where e = n x slack - s, so of m > e segments one differs by at most one word.  A pair
-    meets on the segments of the record with the greater e, so each record is cut for the levels above its own too.
+class _Cut:
+    """How records are cut: the frequent words, and the numbers of segments that records of a size meet on."""
+
+    def __init__(self, frequent: np.ndarray, slack: float, similarity: float) -> None:
+        order = np.argsort(frequent, kind="stable")  # frequent is ordered by frequency: a word's place is its rank there
+        self.frequent, self.places = frequent[order], order
+        self.slack, self.similarity = slack, similarity
+        self.base: dict[int, int] = {}
+        self.groups: list[tuple[int, int, int, float]] = []  # level, least n, greatest n, greatest e of the records of it
+
+    def parts(self, b: pa.RecordBatch):
+        """Words as (record, hash, place or -1), and for each record n and e: the frequent words that may differ."""
+        hs = b.column("hs")
+        n = b.column("n").to_numpy()
+        doc = np.repeat(np.arange(len(b)), hs.value_lengths().to_numpy())
+        h = hs.flatten().to_numpy()
+        place = np.full(len(h), -1, np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+            hit = self.frequent[at] == h
+            place[hit] = self.places[at[hit]]
+        kept = np.bincount(doc[place >= 0], minlength=len(b))
+        return doc, h, place, n, n * self.slack + 1e-6 - (n - kept), kept
+
+    def size_class(self, n: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(n) / -math.log(self.similarity) + 1e-9).astype(np.int64)
+
+    def own(self, e: np.ndarray) -> np.ndarray:
+        return LEVELS[np.minimum(np.searchsorted(LEVELS, e, side="right"), len(LEVELS) - 1)]
+
+    def native(self, n: np.ndarray, e: np.ndarray) -> np.ndarray:
+        c = self.size_class(n)
+        return np.maximum(self.own(e), np.array([self.base.get(int(x), 1) for x in c], np.int64) if len(c) else c)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], cut: _Cut) -> Iterator[pa.RecordBatch]:
+    """(c, m, records, least, greatest, top): the records of a batch by size class and segments needed."""
+    for b in batches:
+        _, _, _, n, e, kept = cut.parts(b)
+        n, e = n[kept > 0], e[kept > 0]
+        c, m = cut.size_class(n), cut.own(e)
+        both, of = np.unique(np.stack([c, m]), axis=1, return_inverse=True)
+        of = of.ravel()
+        rows = [(int(both[0, i]), int(both[1, i]), int((of == i).sum()), int(n[of == i].min()), int(n[of == i].max()), float(e[of == i].max())) for i in range(both.shape[1])]
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols[:5]), pa.array(cols[5], pa.float64())], ["c", "m", "records", "least", "greatest", "top"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch], cut: _Cut, native: bool, short: bool) -> Iterator[pa.RecordBatch]:
+    """(v, short, d, n, sketch): a row for each key that a record meets others on.
+
+    With ``native`` its selective words and its segments of its own level, else those of the higher levels that it can
+    meet others of.  With ``short`` also the segments with one word left out.  A segment is known by the sum of its
+    words, so that a word is left out by subtraction.
     """
-    slack = (1 - similarity) / (1 + similarity)
-    # Words go round the segments by frequency, so that each segment has its share of the rarer ones.
-    place = F.row_number().over(Window.orderBy("df", "w")).cast("long")
-    words_ = middle.select("rep", "w", F.xxhash64("w").alias("at")).unionByName(posts.join(F.broadcast(heavy.select("w", place.alias("at"))), "w").select("rep", "w", "at"))
-    kept = words_.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("w").alias("h"), "at"))).alias("bits"))
-    level = F.coalesce(*[F.when(F.col("e") < m, m) for m in LEVELS], F.floor("e").cast("int") + 1)
-    cut = cut_lineage(docs.join(kept, "rep").withColumn("e", F.col("n") * slack + 1e-6 - F.col("n") + F.size("bits")).withColumn("own", level))
-    levels = cut.groupBy("own").agg(F.min("n").alias("least"), F.max("n").alias("greatest"), F.max("e").alias("top")).withColumnRenamed("own", "m")
-    reach = (F.col("own") <= F.col("m")) & (F.col("n") >= F.col("least") * similarity - 1e-9) & (F.col("n") * similarity - 1e-9 <= F.col("greatest")) & (F.col("e") + F.col("top") >= 0)
-    parts = cut.join(F.broadcast(levels), reach).select("rep", "n", "e", *SKETCHES, (F.col("own") == F.col("m")).alias("native"), "m", F.col("bits.h").alias("hs"), F.col("bits.at").alias("ats"))
-    schema = T.StructType([*parts.drop("m", "hs", "ats").schema.fields, T.StructField("v", T.LongType()), T.StructField("short", T.BooleanType())])
-    whole, either = (parts.mapInArrow(functools.partial(_variants, short=s), schema) for s in (False, True))
-    x, y = F.col("x.rep"), F.col("y.rep")
-    meet = (F.col("x.v") == F.col("y.v")) & (x != y) & (F.col("y.short") | (x < y)) & (F.col("x.native") | F.col("y.native")) & (F.col("x.e") + F.col("y.e") >= 0)
-    return whole.alias("x").join(either.alias("y"), meet & near).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    for big in batches:
+        for start in range(0, len(big), 1024):
+            b = big.slice(start, 1024)
+            doc, h, place, n, e, kept = cut.parts(b)
+            home = cut.native(n, e)
+            rows, vs, shorts = [], [], []
+            if native:
+                rare = place < 0
+                rows.append(doc[rare])
+                vs.append(h[rare])
+                shorts.append(np.zeros(int(rare.sum()), bool))
+            for level in sorted({g[0] for g in cut.groups}):
+                if native:
+                    take = home == level
+                else:
+                    take = np.zeros(len(n), bool)
+                    for m, least, greatest, top in cut.groups:
+                        if m == level:
+                            take |= (home < m) & (n >= least * cut.similarity - 1e-9) & (n * cut.similarity - 1e-9 <= greatest) & (e + top >= 0)
+                take &= kept > 0
+                if not take.any():
+                    continue
+                docs = np.flatnonzero(take)
+                nth = np.full(len(n), -1, np.int64)
+                nth[docs] = np.arange(len(docs))
+                mine = (place >= 0) & take[doc]
+                hd, at = h[mine].view(np.uint64), place[mine] % level
+                slot = nth[doc[mine]] * level + at
+                v = np.zeros(len(docs) * level, np.uint64)
+                np.add.at(v, slot, hd)
+                v += (np.tile(np.arange(level, dtype=np.uint64), len(docs)) + np.uint64(level << 32) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                rows.append(np.repeat(docs, level))
+                vs.append(v.view(np.int64))
+                shorts.append(np.zeros(len(v), bool))
+                if short:
+                    # e + the others' e < e + level, so this many segments need no variants
+                    spare = np.floor(level - e[doc[mine]]).astype(np.int64)
+                    some = at >= spare
+                    rows.append(doc[mine][some])
+                    vs.append((v[slot[some]] - hd[some]).view(np.int64))
+                    shorts.append(np.ones(int(some.sum()), bool))
+            if not rows:
+                continue
+            row = np.concatenate(rows)
+            cols = b.select(["d", "n", *SKETCH]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vs), pa.int64()), pa.array(np.concatenate(shorts)), *cols.columns], ["v", "short", "d", "n", *SKETCH])
+
+
+_KEYED = "v long, short boolean, d long, n long, " + ", ".join(f"{k} long" for k in SKETCH)
+
+
+def _plan_cuts(sets: DataFrame, similarity: float, pairs: int) -> _Cut:
+    """What is frequent and how records are cut, from counts over all records."""
+    counts = cut_lineage(sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df")))
+    steps = {r["k"]: (float(r["met"]), r["words"]) for r in counts.groupBy(F.floor(F.log2("df")).alias("k")).agg((F.sum(F.col("df").cast("double") * F.col("df")) / 2).alias("met"), F.count("*").alias("words")).collect()}
+    total = sets.count()
+    k = 1
+    while k < 62 and (sum(m for j, (m, _) in steps.items() if 0 < j <= k) <= pairs * total or sum(w for j, (_, w) in steps.items() if j >= k) > MOST_FREQUENT):
+        k += 1
+    common = counts.where(F.col("df") >= 2**k).orderBy("df", "h").select("h").toArrow().column(0).to_numpy()  # MOST_FREQUENT at most
+    cut = _Cut(common, (1 - similarity) / (1 + similarity), similarity)
+    found = sets.select("n", "hs").mapInArrow(functools.partial(_sizes, cut=cut), "c long, m long, records long, least long, greatest long, top double")
+    sizes = found.groupBy("c", "m").agg(F.sum("records").alias("records"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.max("top").alias("top")).collect()  # a row a size class and level
+    for c in {r["c"] for r in sizes}:
+        own = sorted((r["m"], r["records"]) for r in sizes if r["c"] == c)
+        rest = sum(x for _, x in own)
+        limit = UPPER * rest
+        for m, x in own:
+            rest -= x
+            if rest <= limit:
+                cut.base[c] = m
+                break
+    merged: dict[tuple[int, int], tuple[int, int, float]] = {}
+    for r in sizes:
+        key = (r["c"], max(r["m"], cut.base[r["c"]]))
+        least, greatest, top = merged.get(key, (r["least"], r["greatest"], r["top"]))
+        merged[key] = (min(least, r["least"]), max(greatest, r["greatest"]), max(top, r["top"]))
+    cut.groups = [(m, *x) for (_, m), x in sorted(merged.items())]
+    return cut
+
+
+def similar_classes(sets: DataFrame, similarity: float, pairs: int = PAIRS) -> DataFrame:
+    """(a, b, similarity): pairs of classes with at least this share of common words; a < b."""
+    cut = _plan_cuts(sets, similarity, pairs)
+    keyed = lambda native, short: sets.drop("rep").mapInArrow(functools.partial(_keys, cut=cut, native=native, short=short), _KEYED)
+    distance = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in SKETCH), F.lit(0))
+    nx, ny = F.col("x.n"), F.col("y.n")
+    near = (distance <= F.floor((nx + ny) * cut.slack + 1e-9)) & (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-9)
+    once = (F.col("x.d") != F.col("y.d")) & (F.col("y.short") | (F.col("x.d") < F.col("y.d")))
+    whole, either = keyed(True, False).drop("short"), keyed(True, True)
+    others = len({g[0] for g in cut.groups}) > 1
+    if others:
+        # Records of lower levels meet those of higher ones on the keys of these only.
+        upper = functools.partial(_upper_keys, cut=cut)
+        known = cut_lineage(sets.drop("rep").mapInArrow(upper, "v long").distinct())
+        known = F.broadcast(known) if known.count() <= MOST_KEYS else known
+        low_whole, low_either = (keyed(False, s).join(known, "v", "left_semi") for s in (False, True))
+        met = whole.alias("x").join(either.unionByName(low_either).alias("y"), (F.col("x.v") == F.col("y.v")) & once & near).select(F.col("x.d").alias("p"), F.col("y.d").alias("q"))
+        back = (F.col("x.v") == F.col("y.v")) & (F.col("x.d") != F.col("y.d")) & near
+        met = met.unionByName(low_whole.drop("short").alias("x").join(either.alias("y"), back).select(F.col("x.d").alias("p"), F.col("y.d").alias("q")))
+    else:
+        met = whole.alias("x").join(either.alias("y"), (F.col("x.v") == F.col("y.v")) & once & near).select(F.col("x.d").alias("p"), F.col("y.d").alias("q"))
+    met = met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
+    side = lambda d, r, h: sets.select(F.col("d").alias(d), F.col("rep").alias(r), F.col("hs").alias(h))
+    common = F.size(F.array_intersect("hp", "hq"))
+    exact = met.join(side("p", "rp", "hp"), "p").join(side("q", "rq", "hq"), "q").withColumn("common", common)
+    return exact.select(F.least("rp", "rq").alias("a"), F.greatest("rp", "rq").alias("b"), (F.col("common") / (F.size("hp") + F.size("hq") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= similarity)
+
+
+def _upper_keys(batches: Iterator[pa.RecordBatch], cut: _Cut) -> Iterator[pa.RecordBatch]:
+    """(v): the segments and variants of the records above the base of their size."""
+    for b in batches:
+        _, _, _, n, e, _ = cut.parts(b)
+        above = cut.native(n, e) > min(g[0] for g in cut.groups)
+        for out in _keys(iter([b.filter(pa.array(above))]), cut, True, True):
+            yield out.select(["v"])
 
 
 def duplicate_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id_a, id_b): the pairs of classes, and the copies within each class, written out by record."""
     across = pairs.join(members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
-    m, o = members.alias("m"), members.alias("o")
-    within = m.join(o, (F.col("m.rep") == F.col("o.rep")) & (F.col("m.id") < F.col("o.id"))).select(F.col("m.id").alias("id_a"), F.col("o.id").alias("id_b"))
+    blocks = members.groupBy("rep").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("blocks"), F.count("*").alias("copies")).where("copies > 1")
+    split = members.join(blocks, "rep")  # a class with many copies is paired block by block
+    m = split.select("rep", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).alias("m")
+    o = split.select("rep", "id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")).alias("o")
+    within = m.join(o, (F.col("m.rep") == F.col("o.rep")) & (F.col("m.block") == F.col("o.block")) & (F.col("m.id") < F.col("o.id"))).select(F.col("m.id").alias("id_a"), F.col("o.id").alias("id_b"))
     return across.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).unionByName(within)
 
 
 def duplicate_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, group_id, links): one row for each record; links counts the similar classes of its class."""
+    """(id, group_id, links): one row for each record; the group is named by its least id, links counts the similar
+    classes of its class.
+    """
     found = connected_components(pairs, "a", "b").select(F.col("node").alias("rep"), F.col("component"))
     links = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    return members.join(found, "rep", "left").join(links, "rep", "left").select("id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    placed = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    names = placed.groupBy("component").agg(F.min("id").alias("group_id"))
+    return placed.join(names, "component").join(links, "rep", "left").select("id", "group_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -48,7 +48,7 @@ def test_records_of_common_words_only(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(30)]
     texts = [(f"t{i:03}", " ".join(sorted(rng.sample(words, 14)))) for i in range(120)]
-    got, _, _ = _found(spark, texts, most=2)
+    got, _, _ = _found(spark, texts, pairs=0)
     assert got == _brute(texts) and got
 
 
@@ -83,3 +83,31 @@ def test_many_copies_with_other_selective_words(spark):
         texts.append((f"h{i:03}", " ".join([f"par{i // 2 if i % 2 else i // 2 + 100}x{k}" for k in range(4)] + [f"outro{i}x{k}" for k in range(20)])))
     got, _, _ = _found(spark, texts)
     assert got == _brute(texts) and len(got) > 5_000
+
+
+def test_long_records_with_many_differing_selective_words(spark):
+    """195 words of which 160 are shared: every word that differs is selective, and so are shared ones."""
+    rng = random.Random(4)
+    pool = [f"base{i}" for i in range(400)]
+    texts = []
+    for g in range(30):
+        shared = rng.sample(pool, 160)
+        texts += [(f"d{g:02}{c}", " ".join(shared + [f"unico{g}{c}{i}" for i in range(35)])) for c in "ab"]
+        texts += [(f"x{g:02}", " ".join([f"unico{g}a{i}" for i in range(35)] + rng.sample(pool, 150)))]
+    for pairs in (0, 5, 400):
+        got, _, _ = _found(spark, texts, pairs=pairs)
+        assert got == _brute(texts) and len(got) >= 30
+
+
+def test_records_of_all_sizes(spark):
+    """Frequent words only, of sizes from 1 to 80: several levels and size classes meet."""
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(120)]
+    texts = []
+    for g in range(150):
+        base = rng.sample(pool, rng.randrange(1, 80))
+        texts += [(f"s{g:03}{c}", " ".join(w for w in base if rng.random() > 0.15) or base[0]) for c in "ab"]
+        texts.append((f"s{g:03}c", " ".join(base + [f"raro{g}x{i}" for i in range(rng.randrange(0, 12))])))
+    for pairs in (0, 30):
+        got, _, _ = _found(spark, texts, pairs=pairs)
+        assert got == _brute(texts) and len(got) > 100
