@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessela.functions.text import MARKED, PLAIN
 from tessela.operators.components import connected_components
 from tessela.session import cut_lineage
 
@@ -32,6 +31,8 @@ PAIRS = 400
 MOST_FREQUENT = 1_000_000
 #: Share of the records of a size that may need more segments than the others of this size are cut into.
 UPPER = 0.1
+#: Ratio of the numbers of segments of records that need more than others of their size.
+STEP = 1.2
 #: Keys of the records with more segments that are sent to the executors, at most, to spare the others' rows a shuffle.
 MOST_KEYS = 2_000_000
 #: Copies of one record that are paired within one task.
@@ -45,6 +46,8 @@ LEVELS = np.array(sorted({*range(1, 13), *(math.ceil(12 * 1.15**i) for i in rang
 LETTER_NAMES = ("letter", "letra", "label", "id", "key", "opcao", "alternativa", "option")
 
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
+_SPACED = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 
 def option_texts(options_json: Column) -> Column:
@@ -53,28 +56,28 @@ def option_texts(options_json: Column) -> Column:
     return F.array_join(F.transform(parsed, lambda m: F.array_join(F.map_values(F.map_filter(m, lambda k, v: ~F.lower(k).isin(*LETTER_NAMES) & v.isNotNull())), " ")), " ")
 
 
-@functools.cache
-def _plain() -> dict[int, str | None]:
-    """Letters with a mark to those without, marks to nothing."""
-    return {i: None for i in range(0x110000) if unicodedata.category(chr(i))[0] == "M"} | str.maketrans(MARKED, PLAIN)
+_hashes: dict[bytes, int] = {}
 
 
-_hashes: dict[str, int] = {}
+def _words(text: str) -> set[bytes]:
+    """The distinct words in lower case without accents."""
+    low = text.lower()
+    if not low.isascii():
+        low = _MARKS.sub("", unicodedata.normalize("NFD", low))
+    if low.isascii():
+        return set(low.encode().translate(_SPACED).split())
+    return {w.encode() for w in _WORD.findall(unicodedata.normalize("NFC", low))}
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """The hashes of the distinct words of a text in lower case without accents, in order."""
-    low = text.lower()
-    ws = set(_WORD.findall(low if low.isascii() else low.translate(_plain())))
+    """The hashes of the distinct words of a text, in order."""
+    ws = _words(text)
     if len(_hashes) > 500_000:
         _hashes.clear()
-    get = _hashes.get
-    out = np.empty(len(ws), np.uint64)
-    for i, w in enumerate(ws):
-        h = get(w)
-        if h is None:
-            h = _hashes[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
+    new = [w for w in ws if w not in _hashes]
+    if new:
+        _hashes.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+    out = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, len(ws))
     out.sort()
     return out
 
@@ -115,7 +118,7 @@ def word_classes(records: DataFrame, key: str, text: list[Column]) -> tuple[Data
     """
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.concat_ws(" ", *text).alias("t"))
     kind = dict(rows.dtypes)["id"]
-    members = rows.mapInArrow(functools.partial(_read, whole=False), f"id {kind}, rep binary").distinct()
+    members = cut_lineage(rows.mapInArrow(functools.partial(_read, whole=False), f"id {kind}, rep binary").distinct())
     sets = rows.mapInArrow(functools.partial(_read, whole=True), "rep binary, d long, n long, " + ", ".join(f"{k} long" for k in SKETCH) + ", hs array<long>")
     return sets.dropDuplicates(["rep"]), members
 
@@ -150,9 +153,11 @@ class _Cut:
     def own(self, e: np.ndarray) -> np.ndarray:
         return LEVELS[np.minimum(np.searchsorted(LEVELS, e, side="right"), len(LEVELS) - 1)]
 
-    def native(self, n: np.ndarray, e: np.ndarray) -> np.ndarray:
-        c = self.size_class(n)
-        return np.maximum(self.own(e), np.array([self.base.get(int(x), 1) for x in c], np.int64) if len(c) else c)
+    def native(self, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The level of a record: the base of its size, or the first of few steps above it that is enough."""
+        base = np.array([self.base.get(x, 1) for x in c.tolist()], np.float64)
+        steps = np.ceil(np.log(np.maximum(own / base, 1)) / math.log(STEP) - 1e-9)
+        return np.maximum(np.ceil(base * STEP**steps - 1e-9).astype(np.int64), own)
 
 
 def _sizes(batches: Iterator[pa.RecordBatch], cut: _Cut) -> Iterator[pa.RecordBatch]:
@@ -179,7 +184,7 @@ def _keys(batches: Iterator[pa.RecordBatch], cut: _Cut, native: bool, short: boo
         for start in range(0, len(big), 1024):
             b = big.slice(start, 1024)
             doc, h, place, n, e, kept = cut.parts(b)
-            home = cut.native(n, e)
+            home = cut.native(cut.size_class(n), cut.own(e))
             rows, vs, shorts = [], [], []
             if native:
                 rare = place < 0
@@ -239,7 +244,7 @@ def _plan_cuts(sets: DataFrame, similarity: float, pairs: int) -> _Cut:
     found = sets.select("n", "hs").mapInArrow(functools.partial(_sizes, cut=cut), "c long, m long, records long, least long, greatest long, top double")
     sizes = found.groupBy("c", "m").agg(F.sum("records").alias("records"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.max("top").alias("top")).collect()  # a row a size class and level
     for c in {r["c"] for r in sizes}:
-        own = sorted((r["m"], r["records"]) for r in sizes if r["c"] == c)
+        own = sorted((r["m"], r["records"]) for r in sizes if abs(r["c"] - c) <= 1)  # those of sizes that can be alike
         rest = sum(x for _, x in own)
         limit = UPPER * rest
         for m, x in own:
@@ -249,7 +254,7 @@ def _plan_cuts(sets: DataFrame, similarity: float, pairs: int) -> _Cut:
                 break
     merged: dict[tuple[int, int], tuple[int, int, float]] = {}
     for r in sizes:
-        key = (r["c"], max(r["m"], cut.base[r["c"]]))
+        key = (r["c"], int(cut.native(np.array([r["c"]]), np.array([r["m"]]))[0]))
         least, greatest, top = merged.get(key, (r["least"], r["greatest"], r["top"]))
         merged[key] = (min(least, r["least"]), max(greatest, r["greatest"]), max(top, r["top"]))
     cut.groups = [(m, *x) for (_, m), x in sorted(merged.items())]
@@ -268,7 +273,7 @@ def similar_classes(sets: DataFrame, similarity: float, pairs: int = PAIRS) -> D
     others = len({g[0] for g in cut.groups}) > 1
     if others:
         # Records of lower levels meet those of higher ones on the keys of these only.
-        upper = functools.partial(_upper_keys, cut=cut)
+        upper = functools.partial(_upper_keys, cut=cut)  # of levels that others reach
         known = cut_lineage(sets.drop("rep").mapInArrow(upper, "v long").distinct())
         known = F.broadcast(known) if known.count() <= MOST_KEYS else known
         low_whole, low_either = (keyed(False, s).join(known, "v", "left_semi") for s in (False, True))
@@ -288,7 +293,7 @@ def _upper_keys(batches: Iterator[pa.RecordBatch], cut: _Cut) -> Iterator[pa.Rec
     """(v): the segments and variants of the records above the base of their size."""
     for b in batches:
         _, _, _, n, e, _ = cut.parts(b)
-        above = cut.native(n, e) > min(g[0] for g in cut.groups)
+        above = cut.native(cut.size_class(n), cut.own(e)) > min(g[0] for g in cut.groups)
         for out in _keys(iter([b.filter(pa.array(above))]), cut, True, True):
             yield out.select(["v"])
 
