@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,8 @@ NICKNAMES = {
     "quico": "quirino", "selmo": "anselmo", "tavinho": "otaviano", "tiao": "sebastiao", "tovinho": "cristovao", "valdo": "florisvaldo", "vecinho": "helvecio", "zozo": "zoraide",
 }
 
+#: Letters of an abbreviation, at most.
+SHORT = 5
 #: Likeness of a word and its initial or abbreviation; no 1 - edits / length is equal to it.
 SHORTENED = 0.891
 #: Names that may hold a selective word; names alike in commoner words only must agree in a second word or its initial.
@@ -83,7 +86,7 @@ def word_likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if short[0] == long[0] and (len(short) == 1 or len(short) <= 5 and len(long) - len(short) >= 2 and _inside(short, long)):
+    if short[0] == long[0] and (len(short) == 1 or len(short) <= SHORT and len(long) - len(short) >= 2 and _inside(short, long)):
         return SHORTENED
     if len(short) < 4 or len(long) - len(short) > 2:
         return 0.0
@@ -118,7 +121,7 @@ def name_likeness(a: list[str], b: list[str]) -> float:
 
 
 def _band_keys(tokens: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(w, key): the band keys of each word."""
+    """(w, key): the band keys of each word, and one of its letters in order of the alphabet."""
     rng = np.random.default_rng(11)
     mul = rng.integers(1, 2**61, rows * bands, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 2**61, rows * bands, dtype=np.uint64)
@@ -134,8 +137,9 @@ def _band_keys(tokens: DataFrame, rows: int, bands: int) -> DataFrame:
                 h ^= h >> np.uint64(29)
                 low = h.min(axis=0).reshape(bands, rows)
                 key = (low * mix).sum(axis=1, dtype=np.uint64) ^ np.arange(bands, dtype=np.uint64)
-                out_k.append(key.view(np.int64))
-                out_w += [w] * bands
+                swapped = xxhash.xxh64_intdigest("".join(sorted(w)))  # words with neighbours swapped have the same letters
+                out_k.append(np.append(key, np.uint64(swapped)).view(np.int64))
+                out_w += [w] * (bands + 1)
             yield pa.RecordBatch.from_arrays([pa.array(out_w, pa.string()), pa.array(np.concatenate(out_k) if out_k else np.zeros(0, np.int64))], ["w", "key"])
 
     return tokens.select("w").mapInArrow(keys, "w string, key long")
@@ -176,7 +180,7 @@ def similar_names(classes: DataFrame, threshold: float = 0.8, most: int = MOST,
     keys = _band_keys(uses.select("w").distinct(), rows, bands)
     x, y = keys.alias("x"), keys.alias("y")
     near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.w") < F.col("y.w"))).select(F.col("x.w").alias("w"), F.col("y.w").alias("v")).where("abs(length(w) - length(v)) <= 2").distinct()
-    near = near.where(_word_likeness("w", "v") > 0)
+    near = cut_lineage(near.where(_may_be_alike(F.col("w"), F.col("v"))).where(_word_likeness("w", "v") > 0))
     same = uses.select("w").distinct().withColumn("v", F.col("w"))
     alike = cut_lineage(near.unionByName(near.select(F.col("v").alias("w"), F.col("w").alias("v"))).unionByName(same))
     met = rare.join(alike, "w").select("field", F.col("rep").alias("a"), F.col("v").alias("w")).join(rare.select("field", F.col("rep").alias("b"), "w"), ["field", "w"]).where("a < b").select("field", "a", "b")
@@ -187,33 +191,41 @@ def similar_names(classes: DataFrame, threshold: float = 0.8, most: int = MOST,
     return pairs.join(left, ["field", "a"]).join(right, ["field", "b"]).withColumn("likeness", _name_likeness("wa", "wb")).where(F.col("likeness") >= threshold).select("field", "a", "b", "likeness")
 
 
+def _may_be_alike(w: Column, v: Column) -> Column:
+    """False only where ``word_likeness`` is 0: built-in, so that few pairs leave the JVM.  A swap is two edits here."""
+    few = F.levenshtein(w, v) <= 2 * F.floor(0.22 * F.greatest(F.length(w), F.length(v)) + 1e-9)
+    return few | ((F.substring(w, 1, 1) == F.substring(v, 1, 1)) & (F.least(F.length(w), F.length(v)) <= SHORT))
+
+
 def _by_common_word(classes: DataFrame, uses: DataFrame, alike: DataFrame, most: int) -> DataFrame:
     """(field, a, b): names alike in a word of at least four letters that is in more than ``most`` names on one side.
 
-    All words of the shorter name have a partner, so unless it has one word only, a second word agrees, and that with the
-    initial of the partner or of a word like the partner: only names that agree in this too are compared.
+    All words of the shorter name have a partner, so unless it has one word only, a second word agrees: with a word
+    like it, or, if one of the two is short enough to be an initial or an abbreviation, in the first letter.
     """
     at = classes.select("field", F.col("rep").alias("r"), F.size("ws").alias("n"), F.posexplode("ws").alias("i", "w"))
-    initial = lambda c: F.substring(c, 1, 1)
-    own = at.select("field", "r", "i", initial("w").alias("c"))
-    wide = own.unionByName(at.join(alike, "w").select("field", "r", "i", initial("v").alias("c"))).distinct()
     long = at.where("length(w) >= 4")
     df, dv = uses.select("field", "w", "df"), uses.select("field", F.col("w").alias("v"), F.col("df").alias("dv"))
     hot = alike.where("length(w) >= 4 and length(v) >= 4").join(df, "w").join(dv, ["field", "v"]).where(F.greatest("df", "dv") > most).select("field", "w", "v")
-    left = long.join(hot, ["field", "w"]).select("field", F.col("r").alias("l"), "n", F.col("i").alias("li"), "v")
-    right = long.join(hot.select("field", F.col("v").alias("w")).distinct(), ["field", "w"]).select("field", "r", F.col("i").alias("ri"), F.col("w").alias("v"))
-    second = lambda side, others, r, i: side.join(others.select("field", F.col("r").alias(r), "i", "c"), ["field", r]).where(F.col("i") != F.col(i)).select("field", r, "v", "c").distinct()
-    two = second(left.drop("n"), own, "l", "li").join(second(right, wide, "r", "ri"), ["field", "v", "c"]).select("field", "l", "r")
-    one = left.where("n = 1").select("field", "l", "v").join(right, ["field", "v"]).select("field", "l", "r")
-    return two.unionByName(one).where("l != r").select("field", F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
-
-
-def star_clusters(classes: DataFrame, links: DataFrame, most_rounds: int = 30) -> DataFrame:
+    left = long.join(hot, ["field", "w"]).select("field", "r", "n", "i", "v")
+    right = long.join(hot.select("field", F.col("v").alias("w")).distinct(), ["field", "w"]).select("field", "r", "i", F.col("w").alias("v"))
+    initial, short = F.substring("w", 1, 1), F.length("w") <= SHORT
+    key = lambda kind, c: F.concat(F.lit(kind), c)
+    initials = lambda mine, others: at.select("field", "r", F.col("i").alias("j"), F.explode(F.when(short, F.array(key(mine, initial), key(others, initial))).otherwise(F.array(key(others, initial)))).alias("k"))
+    own = at.select("field", "r", F.col("i").alias("j"), key("w", F.col("w")).alias("k")).unionByName(initials("r", "l"))
+    wide = at.join(alike, "w").select("field", "r", F.col("i").alias("j"), key("w", F.col("v")).alias("k")).unionByName(initials("l", "r"))
+    second = lambda side, keys, name: side.join(keys, ["field", "r"]).where("i != j").select("field", "v", "k", F.col("r").alias(name)).distinct()
+    two = second(left.drop("n"), wide, "x").join(second(right, own, "y"), ["field", "v", "k"]).select("field", "x", "y")
+    one = left.where("n = 1").select("field", "v", F.col("r").alias("x")).join(right.select("field", "v", F.col("r").alias("y")), ["field", "v"]).select("field", "x", "y")
+    return two.unionByName(one).where("x != y").select("field", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def star_clusters(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(field, rep, centre): each class with the centre of its star.
 
     In each round the undecided names that outrank all undecided neighbours become centres and their undecided
     neighbours satellites, as sequential star clustering would decide.  Rank: words written out, uses, spelling.
-    A satellite of several centres goes to the most alike one.
+    A satellite of several centres goes to the most alike one.  Rounds go on until every name is decided.
     """
     full = F.size(F.filter("ws", lambda w: F.length(w) >= 4))
     rank = classes.select("field", "rep", F.struct(full.alias("full"), "uses", F.col("rep").alias("r")).alias("rank"))
@@ -223,7 +235,7 @@ def star_clusters(classes: DataFrame, links: DataFrame, most_rounds: int = 30) -
     open_ = arcs.select("field", "a").distinct()
     centres = arcs.select("field", "a").limit(0)
     live = arcs
-    for _ in range(most_rounds):
+    while True:  # each round decides at least the highest of the undecided names
         beaten = live.where("rb > ra").select("field", "a").distinct()
         won = cut_lineage(open_.join(beaten, ["field", "a"], "left_anti"))
         if won.isEmpty():

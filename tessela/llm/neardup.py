@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessela.llm.blocks import pairs_within
 from tessela.operators.components import connected_components
 from tessela.session import cut_lineage
 
@@ -35,8 +36,6 @@ UPPER = 0.1
 STEP = 1.2
 #: Keys of the records with more segments that are sent to the executors, at most, to spare the others' rows a shuffle.
 MOST_KEYS = 2_000_000
-#: Copies of one record that are paired within one task.
-COPIES = 1_000
 LONGS = 3
 SKETCH = [f"k{j}" for j in range(LONGS)]
 #: Numbers of segments that records are cut into.
@@ -301,11 +300,7 @@ def _upper_keys(batches: Iterator[pa.RecordBatch], cut: _Cut) -> Iterator[pa.Rec
 def duplicate_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id_a, id_b): the pairs of classes, and the copies within each class, written out by record."""
     across = pairs.join(members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
-    blocks = members.groupBy("rep").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("blocks"), F.count("*").alias("copies")).where("copies > 1")
-    split = members.join(blocks, "rep")  # a class with many copies is paired block by block
-    m = split.select("rep", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).alias("m")
-    o = split.select("rep", "id", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")).alias("o")
-    within = m.join(o, (F.col("m.rep") == F.col("o.rep")) & (F.col("m.block") == F.col("o.block")) & (F.col("m.id") < F.col("o.id"))).select(F.col("m.id").alias("id_a"), F.col("o.id").alias("id_b"))
+    within = pairs_within(members, ["rep"], "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
     return across.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).unionByName(within)
 
 

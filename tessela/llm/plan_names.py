@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessela.catalog import Catalog
+from tessela.llm.blocks import pairs_within
 from tessela.llm.names import name_classes, similar_names, star_clusters
 from tessela.session import cut_lineage, table
 
@@ -22,9 +23,7 @@ def _clusters(spark: SparkSession, d: str) -> DataFrame:
 @catalog.add("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     c = cut_lineage(_clusters(spark, d))
-    a, b = c.alias("a"), c.alias("b")
-    same = (F.col("a.field") == F.col("b.field")) & (F.col("a.centre") == F.col("b.centre")) & (F.col("a.name") < F.col("b.name"))
-    return a.join(b, same).select("a.field", F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"))
+    return pairs_within(c, ["field", "centre"], "name").select("field", F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
 @catalog.add("p5_clusters")

@@ -60,3 +60,22 @@ def test_common_words_with_a_typo_or_an_initial(spark):
     every = {r["rep"]: r["ws"] for r in classes.collect()}
     assert links == {(a, b) for a in every for b in every if a < b and name_likeness(every[a], every[b]) >= 0.8}
     assert {("m santos", "maria santos"), ("maria santos", "mraia santos"), ("maria santos", "naria santos")} <= links
+
+
+def test_words_that_half_of_all_names_hold(spark):
+    """A given name and a surname of 400 names each: spelling, swap, and initial are all linked."""
+    syllables = [a + b for a in "bcdfglmnprst" for b in ("ava", "eto", "iru")]
+    pick = [f"{x}{y}" for x in syllables for y in syllables][:800]
+    names = [f"Maria {x}" for x in pick[:400]] + [f"{x} Silveira" for x in pick[400:]] + ["Maria Silveira", "Maria Silvera", "Mraia Silveira", "M. Silveira"]
+    _, classes = name_classes(spark.createDataFrame([(n,) for n in names], "p string"), {"p": True})
+    four = {"maria silveira", "maria silvera", "mraia silveira", "m silveira"}
+    found = {(r["a"], r["b"]) for r in similar_names(classes).collect()}
+    assert {(a, b) for a in four for b in four if a < b} - found == set()
+
+
+def test_long_chain_of_names(spark):
+    """Names linked in a row, each outranked by the next: as sequential star clustering decides."""
+    n = 80
+    classes = spark.createDataFrame([("f", f"nome{i:03}", ["abcd"], i) for i in range(n)], "field string, rep string, ws array<string>, uses long")
+    links = spark.createDataFrame([("f", f"nome{i:03}", f"nome{i + 1:03}", 0.9) for i in range(n - 1)], "field string, a string, b string, likeness double")
+    assert star_clusters(classes, links).select("centre").distinct().count() == 40
