@@ -272,13 +272,13 @@ def similar_classes(sets: DataFrame, similarity: float, pairs: int = PAIRS) -> D
     others = len({g[0] for g in cut.groups}) > 1
     if others:
         # Records of lower levels meet those of higher ones on the keys of these only.
-        upper = functools.partial(_upper_keys, cut=cut)  # of levels that others reach
-        known = cut_lineage(sets.drop("rep").mapInArrow(upper, "v long").distinct())
+        upper = cut_lineage(sets.drop("rep").mapInArrow(functools.partial(_upper_keys, cut=cut), _KEYED))
+        known = upper.select("v").distinct()
         known = F.broadcast(known) if known.count() <= MOST_KEYS else known
         low_whole, low_either = (keyed(False, s).join(known, "v", "left_semi") for s in (False, True))
         met = whole.alias("x").join(either.unionByName(low_either).alias("y"), (F.col("x.v") == F.col("y.v")) & once & near).select(F.col("x.d").alias("p"), F.col("y.d").alias("q"))
         back = (F.col("x.v") == F.col("y.v")) & (F.col("x.d") != F.col("y.d")) & near
-        met = met.unionByName(low_whole.drop("short").alias("x").join(either.alias("y"), back).select(F.col("x.d").alias("p"), F.col("y.d").alias("q")))
+        met = met.unionByName(low_whole.drop("short").alias("x").join(upper.alias("y"), back).select(F.col("x.d").alias("p"), F.col("y.d").alias("q")))
     else:
         met = whole.alias("x").join(either.alias("y"), (F.col("x.v") == F.col("y.v")) & once & near).select(F.col("x.d").alias("p"), F.col("y.d").alias("q"))
     met = met.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
@@ -289,12 +289,11 @@ def similar_classes(sets: DataFrame, similarity: float, pairs: int = PAIRS) -> D
 
 
 def _upper_keys(batches: Iterator[pa.RecordBatch], cut: _Cut) -> Iterator[pa.RecordBatch]:
-    """(v): the segments and variants of the records above the base of their size."""
+    """The keys of the records above the lowest level, which are few where the sizes are alike."""
     for b in batches:
         _, _, _, n, e, _ = cut.parts(b)
         above = cut.native(cut.size_class(n), cut.own(e)) > min(g[0] for g in cut.groups)
-        for out in _keys(iter([b.filter(pa.array(above))]), cut, True, True):
-            yield out.select(["v"])
+        yield from _keys(iter([b.filter(pa.array(above))]), cut, True, True)
 
 
 def duplicate_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
