@@ -45,8 +45,8 @@ class NetParams:
 
     window: int = 128
     widths: tuple[int, ...] = (2, 3, 4, 5)
-    filters: int = 24
-    embedding: int = 8
+    filters: int = 12
+    embedding: int = 6
     sample: int = 5_000
     windows: int = 4
     steps: int = 512
@@ -80,13 +80,20 @@ class ByteNet:
         return np.ascontiguousarray(at[:, :: self.p.embedding])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        """x: windows of bytes, zero-filled; a row of logits for each."""
+        """x: windows of bytes, zero-filled; a row of logits for each.
+
+        Windows of like length go together, cut behind the first place that sees zeros only: all later ones see the same.
+        """
         out = np.empty((len(x), len(self.c)), dtype=np.float32)
+        ends = x.shape[1] - (x[:, ::-1] != 0).argmax(axis=1)
+        ends[~x.any(axis=1)] = 0
+        order = np.argsort(ends, kind="stable")
         for s in range(0, len(x), 512):
-            patches = self._patches(x[s : s + 512])
+            rows = order[s : s + 512]
+            patches = self._patches(x[rows, : min(x.shape[1], int(ends[rows[-1]]) + self.wide)])
             b, t, k = patches.shape
             h = (patches.reshape(-1, k) @ self.w).reshape(b, t, -1).max(axis=1) + self.b
-            out[s : s + 512] = np.maximum(h, 0) @ self.u + self.c
+            out[rows] = np.maximum(h, 0) @ self.u + self.c
         return out
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, rng: np.random.Generator, even: bool = False) -> None:
@@ -242,9 +249,9 @@ def segments(df: DataFrame, net: ByteNet, key: str, text: str) -> DataFrame:
 
 def main_language(segs: Column) -> Column:
     """The language with the most bytes; of equals the first by code; null without segments."""
-    langs = F.array_sort(F.array_distinct(F.transform(segs, lambda s: s["lang"])))
+    langs = F.array_distinct(F.transform(segs, lambda s: s["lang"]))
     total = lambda lang: F.aggregate(F.filter(segs, lambda s: s["lang"] == lang), F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    return F.array_max(F.transform(langs, lambda x: F.struct(total(x).alias("n"), (-F.ascii(x)).alias("o"), x.alias("x"))))["x"]
+    return F.array_min(F.transform(langs, lambda x: F.struct((-total(x)).alias("n"), x.alias("x"))))["x"]
 
 
 def accuracy(net: ByteNet, texts: list[str], labels: list[str]) -> float:

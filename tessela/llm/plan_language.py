@@ -30,3 +30,10 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     n = F.aggregate("segs", F.lit(0.0), lambda a, s: a + s["n"])
     sure = F.aggregate("segs", F.lit(0.0), lambda a, s: a + s["n"] * s["confidence"]) / n
     return _read(spark, d).select("doc_id", "label", F.col("main").alias("language"), F.round(F.when(n > 0, sure), 3).alias("confidence"), F.array_sort(F.array_distinct(F.transform("segs", lambda s: s["lang"]))).alias("languages"))
+
+
+@catalog.add("p10_segments")
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of the documents in several languages, with their confidence."""
+    mixed = _read(spark, d).where("langs > 1").select("doc_id", F.explode("segs").alias("s"))
+    return mixed.select("doc_id", "s.seg_no", "s.lang", F.round("s.confidence", 3).alias("confidence"))

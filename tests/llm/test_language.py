@@ -73,3 +73,21 @@ def test_gradients():
     before = loss()
     net.train(x, y, 64, rng)
     assert loss() < before / 2
+
+
+def test_ties_by_code(spark):
+    segs = "array<struct<seg_no:bigint,lang:string,confidence:double,n:int>>"
+    df = spark.createDataFrame([([(1, "es", 0.9, 10), (2, "en", 0.9, 10)],), ([(1, "it", 0.9, 9), (2, "pt", 0.9, 5), (3, "pt", 0.9, 5)],)], f"segs {segs}")
+    assert [r[0] for r in df.select(main_language(F.col("segs"))).collect()] == ["en", "pt"]
+
+
+def test_short_windows_read_as_filled_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    net, x = ByteNet(), np.zeros((700, 128), np.uint8)
+    for i, row in enumerate(x):
+        row[: i % 129] = rng.integers(1, 255, i % 129)
+    patches = net._patches(x)
+    h = (patches.reshape(-1, patches.shape[2]) @ net.w).reshape(len(x), patches.shape[1], -1).max(axis=1) + net.b
+    assert np.allclose(net.logits(x), np.maximum(h, 0) @ net.u + net.c, atol=1e-5)
