@@ -45,7 +45,7 @@ class NetParams:
 
     window: int = 128
     widths: tuple[int, ...] = (2, 3, 4, 5)
-    filters: int = 12
+    filters: int = 16
     embedding: int = 6
     sample: int = 5_000
     windows: int = 4
