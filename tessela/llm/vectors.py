@@ -8,6 +8,7 @@ with one matrix product, and only the best k of each query leave the block.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,8 @@ class ListParams:
     sample: vectors that the centroids are fitted on, at most (about; chosen by a hash of the id).
     list_size: vectors that a list should hold; most_lists bounds what is sent to executors (4 bytes x dimension each).
     copies, copy_ratio: lists that a vector is put on, and how much farther than the nearest they may be.
-    probes, probe_ratio: the same for a query.
+    probes, probe_ratio: the same for a query, but 1.5 x the square root of the number of lists if that is more; a query that then has fewer than k neighbours visits four times as many
+    lists, again and again, in the end all.
     posting_block, query_block: rows of one matrix product; larger lists are cut into blocks.
     """
 
@@ -38,7 +40,7 @@ class ListParams:
     copies: int = 2
     copy_ratio: float = 1.06
     probes: int = 6
-    probe_ratio: float = 1.15
+    probe_ratio: float = 1.2
     posting_block: int = 8_192
     query_block: int = 16_384
     seed: int = 7
@@ -55,7 +57,8 @@ class CentroidGraph:
         for b in range(0, n, 1024):
             s = self.c[b : b + 1024] @ self.c.T
             s[np.arange(len(s)), np.arange(b, b + len(s))] = -9
-            links[b : b + 1024] = np.argsort(-s, axis=1, kind="stable")[:, :degree]
+            top = np.argpartition(-s, degree - 1, axis=1)[:, :degree] if n > 1 else np.zeros((len(s), degree), int)
+            links[b : b + 1024] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
         rng = np.random.default_rng(n)
         far = rng.integers(0, n, (n, 4), dtype=np.int32)  # long links keep the graph connected
         self.links = np.hstack([links, far])
@@ -165,33 +168,67 @@ def nearest(df: DataFrame, k: int, p: ListParams = ListParams()) -> DataFrame:
     x = _unit(_vectors(drawn.select("vector").toArrow().column(0), p.dimension))
     if not len(x):
         x = _unit(_vectors(df.limit(1).select("vector").toArrow().column(0), p.dimension))
-    centroids = spark.sparkContext.broadcast(fit_centroids(x, max(1, min(p.most_lists, total // p.list_size)), p.seed))
-    graphs: dict[str, CentroidGraph] = {}  # one per worker process
+    centroids = fit_centroids(x, max(1, min(p.most_lists, total // p.list_size)), p.seed)
+    graph = spark.sparkContext.broadcast(CentroidGraph(centroids))
+    probes = max(p.probes, int(1.5 * np.sqrt(len(centroids))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = graphs.setdefault("g", CentroidGraph(centroids.value)) if "g" not in graphs else graphs["g"]
         for whole in batches:
             for start in range(0, len(whole), 1024):
                 b = whole.slice(start, 1024)
                 v = _unit(_vectors(b.column(2), p.dimension))
-                ids, sims = graph.search(v, max(p.copies, p.probes))
+                ids, sims = graph.value.search(v, max(p.copies, probes))
                 far = np.sqrt(np.maximum(2 - 2 * sims, 1e-9))
                 lists = []
-                for most, ratio in ((p.copies, p.copy_ratio), (p.probes, p.probe_ratio)):
+                for most, ratio in ((p.copies, p.copy_ratio), (probes, p.probe_ratio)):
                     keep = (far[:, :most] <= ratio * far[:, :1]) & (ids[:, :most] >= 0)
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], keep.sum(1).cumsum()]), pa.int32()), pa.array(ids[:, :most][keep], pa.int32())))
+                    lists.append(_lists(ids[:, :most], keep))
                 half = v.astype(np.float16)
                 raw = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer((np.arange(len(v) + 1, dtype=np.int32) * (2 * p.dimension)).tobytes()), pa.py_buffer(half.tobytes())])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), raw, *lists], ["id", "grp", "half", "posts", "visits"])
 
-    placed = cut_lineage(df.mapInArrow(place, "id string, grp long, half binary, posts array<int>, visits array<int>"))
-    sizes = placed.select(F.explode("posts").alias("l"), F.lit(1).alias("p"), F.lit(0).alias("q")).unionByName(placed.select(F.explode("visits").alias("l"), F.lit(0).alias("p"), F.lit(1).alias("q")))
+    placed = cut_lineage(df.mapInArrow(place, _PLACED))
+    best = cut_lineage(_search(placed, placed, k, p))
+    wider = probes
+    while wider < len(centroids):
+        done = best.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("id")
+        short = cut_lineage(placed.join(done, "id", "left_anti"))
+        if short.isEmpty():
+            break
+        wider = min(4 * wider, len(centroids))
+        wide = short.mapInArrow(functools.partial(_wider, graph=graph, probes=wider, dimension=p.dimension), _PLACED)
+        best = cut_lineage(best.join(short.select("id"), "id", "left_anti").unionByName(_search(placed, wide, k, p)))
+    return best
+
+
+_PLACED = "id string, grp long, half binary, posts array<int>, visits array<int>"
+
+
+def _lists(ids: np.ndarray, keep: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], keep.sum(1).cumsum()]), pa.int32()), pa.array(ids[keep], pa.int32()))
+
+
+def _wider(batches: Iterator[pa.RecordBatch], graph, probes: int, dimension: int) -> Iterator[pa.RecordBatch]:
+    """Placed vectors, with the nearest ``probes`` lists to visit."""
+    c = graph.value.c
+    for whole in batches:
+        for start in range(0, len(whole), 256):
+            b = whole.slice(start, 256)
+            v = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.float16).reshape(-1, dimension).astype(np.float32)
+            s = v @ c.T
+            near = np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < len(c) else np.tile(np.arange(len(c)), (len(v), 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], _lists(near, np.ones(near.shape, bool))], b.schema.names)
+
+
+def _search(placed: DataFrame, asking: DataFrame, k: int, p: ListParams) -> DataFrame:
+    """(id, other, similarity): the best k of the lists that each row of ``asking`` visits."""
+    sizes = placed.select(F.explode("posts").alias("l"), F.lit(1).alias("p"), F.lit(0).alias("q")).unionByName(asking.select(F.explode("visits").alias("l"), F.lit(0).alias("p"), F.lit(1).alias("q")))
     cuts = sizes.groupBy("l").agg(F.ceil(F.sum("p") / p.posting_block).cast("int").alias("pb"), F.ceil(F.sum("q") / p.query_block).cast("int").alias("qb")).where("pb > 0 and qb > 0")
     cuts = F.broadcast(cuts)  # a row per list, at most most_lists and their splits
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     posts = placed.select("id", "grp", "half", F.explode("posts").alias("l")).join(cuts, "l").withColumn("x", own("pb")).withColumn("y", every("qb")).withColumn("asks", F.lit(False))
-    asks = placed.select("id", "grp", "half", F.explode("visits").alias("l")).join(cuts, "l").withColumn("y", own("qb")).withColumn("x", every("pb")).withColumn("asks", F.lit(True))
+    asks = asking.select("id", "grp", "half", F.explode("visits").alias("l")).join(cuts, "l").withColumn("y", own("qb")).withColumn("x", every("pb")).withColumn("asks", F.lit(True))
     units = posts.unionByName(asks).select("l", "x", "y", "id", "grp", "half", "asks")
 
     def score(t: pa.Table) -> pa.Table:
@@ -214,7 +251,7 @@ def nearest(df: DataFrame, k: int, p: ListParams = ListParams()) -> DataFrame:
         cols = [np.concatenate([o[i] for o in out]) if out else np.array([], dtype=object if i < 2 else np.float32) for i in range(3)]
         return pa.table({"id": pa.array(cols[0], pa.string()), "other": pa.array(cols[1], pa.string()), "similarity": pa.array(cols[2].astype(np.float32), pa.float32())})
 
-    found = units.groupBy("l", "x", "y").applyInArrow(score, schema)
+    found = units.groupBy("l", "x", "y").applyInArrow(score, "id string, other string, similarity float")
     best = found.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     ranked = best.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "other"))), 1, k).alias("top"))
     return ranked.select("id", F.explode("top").alias("t")).select("id", F.col("t.other").alias("other"), (-F.col("t.s")).alias("similarity"))

@@ -64,3 +64,13 @@ def test_single_and_none(spark):
     df = spark.createDataFrame([("a", "g", [1.0] * 16)], "id string, asset string, vector array<float>")
     assert nearest(usable(df, "id", "asset", "vector", 16), 5, P).count() == 0
     assert nearest(usable(df.limit(0), "id", "asset", "vector", 16), 5, P).count() == 0
+
+
+def test_one_group_fills_its_lists(spark):
+    """Vectors whose nearest lists hold their own group only search on in farther lists until they have k neighbours."""
+    rng = np.random.default_rng(2)
+    far = rng.normal(size=(20, 16))
+    x = np.concatenate([np.ones((700, 16)) + 0.02 * rng.normal(size=(700, 16)), -np.ones((300, 16)) + 0.5 * far[rng.integers(0, 20, 300)]])
+    df = spark.createDataFrame([(f"v{i}", "one" if i < 700 else f"g{i}", v.tolist()) for i, v in enumerate(x)], "id string, asset string, vector array<float>")
+    got = nearest(usable(df, "id", "asset", "vector", 16), 5, P).groupBy("id").count().collect()
+    assert len(got) == 1000 and all(r["count"] == 5 for r in got)
