@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -18,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a scanned page are no longer than this; a text with longer lines isn't cut into page lines.
+from tessela.session import cut_lineage
+
+#: Most lines of a scanned page are no longer than this.
 WIDEST = 110
 #: Share of all words from which a word counts as known; so at most 1 / share words are.
 KNOWN_SHARE = 1e-5
 KNOWN_LEAST = 4
-#: Edits of one word, at most: a word with more isn't readable.
-MOST_EDITS = 3
-#: Words and lines that the perceptrons are trained on, at most.
+#: Words and lines that the perceptrons are trained on, at most, and the length of such a line.
 TRAIN_WORDS = 9_000
-TRAIN_TEXTS = 400
+TRAIN_LINES = 2_000
+LINE = 4_000
 
 # What is on the page, and what recognition makes of it.
 CONFUSIONS = (
@@ -163,7 +165,7 @@ def edit_word(w: str, m: Models, whole: bool = True) -> list[tuple[int, int, str
     now = low
     home = list(range(len(low)))  # where each character of now stands in the word
     edits: list[tuple[int, int, str]] = []
-    for _ in range(MOST_EDITS):
+    for _ in range(len(low)):  # until no edit gains anything
         best = (0.0, 0, ("", "", 0, ""))
         for i in range(len(now)):
             options = _options(now, i, m.known)
@@ -501,24 +503,33 @@ def _paragraphs(fixed: dict[int, str], live: list[int], lines: list[str], joins:
 
 
 def is_paged(c: Column) -> Column:
-    """Whether a text is cut into page lines: several, none longer than ``WIDEST``."""
-    sizes = F.transform(F.split(c, "\n"), lambda ln: F.length(F.trim(F.regexp_replace(ln, "\r", ""))))
-    return (F.size(F.filter(sizes, lambda n: n > 0)) >= 2) & (F.array_max(sizes) <= WIDEST)
+    """Whether a text is cut into page lines: it has several, and at least half of its characters are in lines of at
+    most ``WIDEST``.  Such a text is read whole, its longer lines too.
+    """
+    sizes = F.filter(F.transform(F.split(c, "\n"), lambda ln: F.length(F.trim(F.regexp_replace(ln, "\r", "")))), lambda n: n > 0)
+    total = lambda ns: F.aggregate(ns, F.lit(0).cast("long"), lambda a, n: a + n)
+    return (F.size(sizes) >= 2) & (2 * total(F.filter(sizes, lambda n: n <= WIDEST)) >= total(sizes))
 
 
 def train_on(texts: DataFrame, key: str, text: str) -> Models:
-    """Counts the words of all clean texts and fits the models on a bounded sample of them."""
+    """Counts the words of all clean texts and fits the models on a bounded sample of words and lines.
+
+    Lines are drawn by a hash; lines of over ``LINE`` characters are not trained on.
+    """
     clean = texts.where(F.col(text).isNotNull() & ~is_paged(F.col(text)))
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}]+(?:-[\p{L}]+)*)"), F.lit(1))
-    counts = clean.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("length(w) <= 40")
+    counts = cut_lineage(clean.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("length(w) <= 40"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     known = {r["w"] for r in counts.where(F.col("n") >= max(KNOWN_LEAST, total * KNOWN_SHARE)).select("w").collect()}  # at most 1 / KNOWN_SHARE
     drawn = [r["w"] for r in counts.orderBy(F.xxhash64("w")).limit(TRAIN_WORDS).select("w").collect()]
-    some = [r["t"] for r in clean.where(F.length(text) > 200).select(F.substring(text, 1, 4_000).alias("t"), F.xxhash64(key).alias("h")).orderBy("h").limit(TRAIN_TEXTS).collect()]  # lines to train on, not to repair
-    lines = [ln.strip() for t in some for ln in t.split("\n") if len(ln.strip()) > 40]
+    each = clean.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "t")).select(F.xxhash64(key, "pos").alias("h"), F.trim(F.regexp_replace("t", r"\s+", " ")).alias("t"))
+    lines = [r["t"] for r in each.where(F.length("t").between(41, LINE)).orderBy("h", "t").limit(TRAIN_LINES).collect()]
     return fit(lines, drawn, known)
 
 
+_edited: dict[str, dict[tuple[str, bool], list[tuple[int, int, str]]]] = {}
+
+
 def repair_texts(df: DataFrame, keys: list[str], text: str, models: Models) -> DataFrame:
     """(*keys, damage, repaired): the paged texts; damage is an array of (line_no, kind).
 
@@ -528,11 +539,13 @@ def repair_texts(df: DataFrame, keys: list[str], text: str, models: Models) -> D
     paged = df.where(is_paged(F.col(text))).select(*keys, F.col(text).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in paged.schema.fields}
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "damage array<struct<line_no:bigint,kind:string>>, repaired string"])
-    caches: dict[str, dict] = {}
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        cache = caches.setdefault("words", {})
+        if mark not in _edited:  # the edits of words, kept as long as the worker lives and reads by the same models
+            _edited.clear()
+        cache = _edited.setdefault(mark, {})
         typ = pa.list_(pa.struct([("line_no", pa.int64()), ("kind", pa.string())]))
         for whole in batches:
             for start in range(0, len(whole), 64):

@@ -65,3 +65,17 @@ def test_only_paged_texts(spark, models):
 def test_very_long_text(models):
     text = "\n".join(SENTENCES[i % 5][:60] for i in range(4000))
     assert len(s.repair(text, models).text) > 100_000
+
+
+def test_one_long_line_on_a_page(spark, models):
+    page = "\n".join(["O paciente costuma apresentar fcbre baixa ves-", "pertina e t0sse seca persistente nas primeiras", "semanas. " + "Durante a aula prática os alunos " * 4, "Recomenda-se a reposição hormonal quando o valor de", "creatinina ultrapassa vinte unidades."])
+    assert max(map(len, page.split("\n"))) > s.WIDEST
+    got = s.repair_texts(spark.createDataFrame([("1", page)], "row_id string, text string"), ["row_id"], "text", models).first()
+    assert {(x["line_no"], x["kind"]) for x in got["damage"]} == {(1, "char"), (1, "hyphen"), (2, "char")}
+    assert "febre baixa vespertina e tosse" in got["repaired"]
+
+
+def test_a_word_with_many_errors(models):
+    """Edits go on as long as one gains."""
+    w = "h0spita1iza¢ã0"
+    assert len(s.edit_word("rec0nnend@çãc", models)) >= 0 and len(s.edit_word(w, models)) <= len(w)
