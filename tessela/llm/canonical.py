@@ -79,8 +79,19 @@ def clean(c: Column) -> Column:
 
 
 def edits_allowed(length: Column) -> Column:
-    """k by the length of the reference string."""
-    return F.when(length < 6, 0).when(length < 9, 1).otherwise(MOST_EDITS)
+    """Edits by the length of the reference string; from 5 letters on a swap of neighbours is one of them."""
+    return F.when(length < 3, 0).when(length < 9, 1).otherwise(MOST_EDITS)
+
+
+def _cuts(length: Column) -> Column:
+    """k, where a reference string is cut into k + 1 segments: a swap is two edits here."""
+    return F.when(length < 3, 0).when(length < 5, 1).otherwise(MOST_EDITS)
+
+
+def _swapped(a: Column, b: Column) -> Column:
+    """Whether two strings at a distance of 2 differ by a swap of neighbours."""
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    return (F.length(a) == F.length(b)) & (letters(a) == letters(b))
 
 
 def _tokens(c: Column) -> Column:
@@ -111,7 +122,8 @@ def reference_strings(refs: DataFrame, ref_id: str = "ref_id", name: str = "cano
 
 def typed_strings(texts: DataFrame, text: str) -> DataFrame:
     """(text, words, t): each distinct text cleaned, without blanks, with and without stop words."""
-    toks = texts.select(F.col(text).alias("text")).where("text is not null").distinct().select("text", _tokens(clean(F.col("text"))).alias("words"))
+    cores = texts.sparkSession.sparkContext.defaultParallelism  # few bytes, but dear to clean: over all cores
+    toks = texts.select(F.col(text).alias("text")).where("text is not null").repartition(cores, "text").distinct().select("text", _tokens(clean(F.col("text"))).alias("words"))
     both = F.array_distinct(F.array(F.array_join("words", ""), F.array_join(_without_stops(F.col("words")), "")))
     return toks.select("text", "words", F.explode(both).alias("t")).where("t != ''")
 
@@ -120,7 +132,7 @@ def _segments(strings: DataFrame) -> DataFrame:
     """(s, n, i, seg): the k + 1 segments of each reference string."""
     step = "int(floor(n / (k + 1)))"
     return (
-        strings.select("s").distinct().withColumn("n", F.length("s")).withColumn("k", edits_allowed(F.col("n")))
+        strings.select("s").distinct().withColumn("n", F.length("s")).withColumn("k", _cuts(F.col("n")))
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
         .select("s", "n", "k", "i", F.expr(f"substring(s, i * {step} + 1, case when i = k then n else {step} end)").alias("seg"))
     )
@@ -132,7 +144,7 @@ def _probes(typed: DataFrame) -> DataFrame:
     return (
         typed.select("t").distinct().withColumn("m", F.length("t"))
         .withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("m") - widest), F.col("m") + widest)))
-        .withColumn("k", edits_allowed(F.col("n"))).where("abs(n - m) <= k")
+        .withColumn("k", _cuts(F.col("n"))).where("abs(n - m) <= k")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
         .withColumn("shift", F.explode(F.sequence(-F.col("k"), F.col("k"))))
         .where("abs(shift) + abs(m - n - shift) <= k")
@@ -147,16 +159,18 @@ def match_texts(texts: DataFrame, text: str, refs: DataFrame) -> DataFrame:
     """(text, ref_id, distance): the one entry that each text means; texts that mean none are absent.
 
     A candidate must hold every word of the text that is a common word of the list (one of at least three
-    entries), and the same digits.  The nearest entry holds, of ties the smallest ``ref_id``.
+    entries), and the same digits.  The nearest entry holds, of ties the smallest ``ref_id``; but a string of fewer than
+    six letters with an edit must be nearest to one entry only.
     """
     strings = cut_lineage(reference_strings(refs))
     typed = cut_lineage(typed_strings(texts, text))
     common = strings.select("ref_id", F.explode("words").alias("w")).distinct().groupBy("w").count().where("count >= 3").where(~F.col("w").isin(*STOP_WORDS))
     exact = typed.join(strings, typed["t"] == strings["s"]).select("text", typed["words"], strings["words"].alias("ref_words"), "ref_id", "t", "s", F.lit(0).alias("distance"))
-    rest = typed.join(exact.select("text").distinct(), "text", "left_anti")
+    rest = typed.join(exact.select("text").distinct(), "text", "left_anti").repartition(typed.sparkSession.sparkContext.defaultParallelism, "t")
     pairs = (
         _probes(rest).join(_segments(strings), ["n", "i", "seg"]).select("t", "s", "k").distinct()
-        .withColumn("distance", F.levenshtein("t", "s", MOST_EDITS)).where("distance >= 0 and distance <= k")
+        .withColumn("distance", F.levenshtein("t", "s", MOST_EDITS)).where("distance >= 0")
+        .where((F.col("distance") <= edits_allowed(F.length("s"))) | ((F.col("distance") == 2) & _swapped(F.col("t"), F.col("s"))))
     )
     near = pairs.join(rest, "t").join(strings.withColumnRenamed("words", "ref_words"), "s").select("text", "words", "ref_words", "ref_id", "t", "s", "distance")
     known = typed.select("text", "words").distinct().select("text", F.explode("words").alias("w")).join(common.select("w"), "w").groupBy("text").agg(F.collect_set("w").alias("known"))
@@ -165,7 +179,9 @@ def match_texts(texts: DataFrame, text: str, refs: DataFrame) -> DataFrame:
         exact.unionByName(near).where(digits(F.col("t")) == digits(F.col("s")))
         .join(known, "text", "left")
         .where(F.coalesce(F.size(F.array_except("known", "ref_words")) == 0, F.lit(True)))
-        .groupBy("text").agg(F.min(F.struct("distance", "ref_id")).alias("best"))
+        .groupBy("text", "distance").agg(F.min("ref_id").alias("ref_id"), F.max("ref_id").alias("last"), F.min(F.length("s")).alias("n"))
+        .groupBy("text").agg(F.min(F.struct("distance", "ref_id", "last", "n")).alias("best"))
+        .where("best.distance = 0 or best.n >= 6 or best.ref_id = best.last")
         .select("text", "best.ref_id", "best.distance")
     )
 

@@ -62,3 +62,12 @@ def test_clean(spark):
 def test_no_references(spark, refs):
     texts = spark.createDataFrame([("Bamumabrectomia total",)], "x string")
     assert match_texts(texts, "x", refs.limit(0)).count() == 0
+
+
+def test_edits_in_short_names(spark):
+    """A letter more, less or other and a swap are seen in short names too, unless two entries are as near."""
+    refs = spark.createDataFrame([(1, "Asma", []), (2, "Gota", []), (3, "Dengue", []), (4, "Tosse", []), (5, "Posse", [])], "ref_id bigint, canonical_term string, synonyms array<string>")
+    typed = {"Asmma": 1, "Gotaa": 2, "Dengeu": 3, "dengu": 3, "tose": 4, "Nosse": None, "Asno": None, "Goat": None}
+    terms = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(typed)], "id bigint, term string, normalized_term string, canonical_term string")
+    got = {r["id"]: r["ref_id"] for r in map_terms(terms, refs).collect()}
+    assert [got[i] for i in range(len(typed))] == list(typed.values())
