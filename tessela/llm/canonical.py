@@ -89,9 +89,9 @@ def _cuts(length: Column) -> Column:
 
 
 def _swapped(a: Column, b: Column) -> Column:
-    """Whether two strings at a distance of 2 differ by a swap of neighbours."""
+    """Whether strings of at least 5 letters at a distance of 2 differ by a swap of neighbours."""
     letters = lambda c: F.array_sort(F.split(c, ""))
-    return (F.length(a) == F.length(b)) & (letters(a) == letters(b))
+    return (F.length(b) >= 5) & (F.length(a) == F.length(b)) & (letters(a) == letters(b))
 
 
 def _tokens(c: Column) -> Column:
