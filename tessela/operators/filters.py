@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessela.functions.text import fold
+from tessela.session import cut_lineage
 
 
 def point_lookup(df: DataFrame, key: str, value: object) -> DataFrame:
@@ -126,18 +127,19 @@ def file_errors(size: Column, name: Column, mime: Column, most_bytes: int, exten
     return F.array_compact(F.array(*rules))
 
 
-def tree_levels(df: DataFrame, key: str, parent: str, most_levels: int = 32) -> DataFrame:
+def tree_levels(df: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, level): 0 for roots (no or blank parent), then by descent; a node under none of the roots has no row.
 
-    A loop of joins, one for each level of the tree; the tree is a table of folders, shallow by nature.
+    A loop of joins, one for each level of the tree, until no node is left below; lineage is cut each time.  Nodes with two
+    parents have their least level.  A circle hangs under no root, so the loop ends.
     """
-    nodes = df.select(F.col(key).alias("k"), F.nullif(F.trim(F.col(parent)), F.lit("")).alias("p")).distinct()
-    level = nodes.where("p is null").select("k", F.lit(0).alias("level"))
-    out = level
-    for n in range(1, most_levels):
-        level = nodes.join(level.select(F.col("k").alias("p")), "p").select("k", F.lit(n).alias("level"))
-        if level.isEmpty():
-            break
+    nodes = cut_lineage(df.select(F.col(key).alias("k"), F.nullif(F.trim(F.col(parent)), F.lit("")).alias("p")).distinct())
+    out = level = cut_lineage(nodes.where("p is null").select("k", F.lit(0).alias("level")).distinct())
+    n = 0
+    while not level.isEmpty():
+        n += 1
+        below = nodes.join(level.select(F.col("k").alias("p")), "p").select("k").distinct()
+        level = cut_lineage(below.join(out.select("k"), "k", "left_anti").withColumn("level", F.lit(n)))
         out = out.unionByName(level)
     return out.select(F.col("k").alias(key), "level")
 

@@ -30,11 +30,14 @@ def neighbours(edges: DataFrame, nodes: DataFrame, code: str, predicate: str | N
 
 
 def two_hop_siblings(edges: DataFrame, nodes: DataFrame, source: str, predicates: list[str]) -> DataFrame:
-    """(sibling): other sources of the targets of a source, by the given predicates, of the source's own type."""
+    """(sibling): other sources of the targets of a source, and sources that point to it, by the given predicates; of the
+    source's own type.
+    """
     kind = nodes.where(F.col("canonical_code") == source).agg(F.min("type").alias("type"))
     targets = edges.where(F.col("source_code") == source).select("target_code").distinct()
     second = edges.where(F.col("predicate").isin(predicates) & (F.col("source_code") != source)).select("source_code", "target_code")
-    met = second.join(targets, "target_code", "left_semi").select(F.col("source_code").alias("sibling")).distinct()
+    direct = second.where(F.col("target_code") == source).select(F.col("source_code").alias("sibling"))
+    met = second.join(targets, "target_code", "left_semi").select(F.col("source_code").alias("sibling")).unionByName(direct).distinct()
     typed = nodes.join(F.broadcast(kind), "type", "left_semi").select(F.col("canonical_code").alias("sibling")).distinct()
     return met.join(typed, "sibling", "left_semi")
 
@@ -121,18 +124,22 @@ def fuzzy_lookup(words: DataFrame, terms: DataFrame, key: str, word: str, term:
     return best.select(key, F.col("w").alias(word), F.col("b.t").alias(term), F.col("b.distance").alias("distance"))
 
 
-def substring_join(left: DataFrame, lk: str, part: str, right: DataFrame, rk: str, texts: list[str]) -> DataFrame:
+def substring_join(left: DataFrame, lk: str, part: str, right: DataFrame, rk: str, texts: list[str], gram: int = 8) -> DataFrame:
     """(lk, rk): rows of the right side one of whose texts contains the left side's text, in any case.
 
-    The left side must be small: it is checked, and beyond ``BROADCAST_ROWS`` the join is refused instead of run for ever.
+    Each sought text is known by the rarest of its pieces of ``gram`` characters, or by itself if it is shorter; texts are
+    cut into pieces of these lengths, so that candidates meet in an equality join and are verified.  Blank ones are in none.
     """
     l = left.select(F.col(lk).alias("_l"), F.lower(F.trim(F.col(part))).alias("_p")).where("_p != ''").distinct()
-    if l.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("the side of the sought texts is too large for a substring join")
-    hit = F.lit(False)
-    for t in texts:
-        hit = hit | F.contains(F.lower(F.coalesce(F.col(t), F.lit(""))), F.col("_p"))
-    return right.join(F.broadcast(l), hit).select(F.col("_l").alias(lk), F.col(rk)).distinct()
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))
+    grams = l.withColumn("n", F.least(F.length("_p"), F.lit(gram))).withColumn("g", F.explode(F.array_distinct(pieces(F.col("_p"), F.col("n")))))
+    counts = grams.groupBy("g").agg(F.count("*").alias("c"))
+    keyed = grams.join(counts, "g").groupBy("_l", "_p").agg(F.min(F.struct("c", "g")).alias("m")).select("_l", "_p", F.col("m.g").alias("g"))
+    long = right.select(F.col(rk).alias("_r"), F.explode(F.array(*[F.lower(F.col(t)) for t in texts])).alias("_t")).where("_t is not null").distinct()
+    lengths = [r["n"] for r in keyed.select(F.length("g").alias("n")).distinct().collect()]  # at most ``gram`` of them
+    cut = F.array_distinct(F.flatten(F.array(*[pieces(F.col("_t"), F.lit(n)) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    met = long.select("_r", "_t", F.explode(cut).alias("g")).join(keyed, "g")
+    return met.where(F.contains("_t", F.col("_p"))).select(F.col("_l").alias(lk), F.col("_r").alias(rk)).distinct()
 
 
 def merge_terms(existing: DataFrame, new: DataFrame, key: str, fills: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ SHORT_ANSWERS = (
     "prostata", "bexiga", "uretra", "ureter", "tireoide", "paratireoide", "hipofise", "adrenal", "supra-renal", "pleura", "pericardio", "peritonio", "diafragma", "traqueia", "laringe", "faringe",
     "esofago", "aorta", "veia cava", "grau i", "grau ii", "grau iii", "grau iv", "tipo 1", "tipo 2", "estagio i", "estagio ii", "estagio iii", "estagio iv", "classe i", "classe ii", "classe iii", "classe iv",
 )
-UNITS = r"(?i)(?:^|[^\p{L}\d])\d+(?:[.,/]\d+)*\s*(?:mg|g|mcg|ml|dl|l|mmhg|bpm|meq|mmol|ui|%|anos|meses|dias|horas|minutos|grau|tipo|vezes)(?:[^\p{L}]|$)|^\d+[.,/]\d+(?:\s*(?:mmhg|bpm|mg|g))?(?:/\p{L}+)?$"
+UNITS = r"(?i)(?:^|[^\p{L}\d])\d+(?:[.,/]\d+)*\s*(?:mg|g|mcg|ml|dl|l|mmhg|bpm|meq|mmol|ui|%|anos|meses|dias|horas|minutos|grau|tipo|estagio|classe|ecg|tc|rm|x|vezes)(?:[^\p{L}]|$)|^\d+[.,/]\d+(?:\s*(?:mmhg|bpm|mg|g))?(?:/\p{L}+)?$"
 _LETTERS = r"[A-Za-zÁÀÂÃÉÊÍÓÔÕÚÇáàâãéêíóôõúç]"
 
 

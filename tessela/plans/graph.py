@@ -42,8 +42,9 @@ def graph_neighbors_predicate(spark: SparkSession, d: str) -> DataFrame:
     return j.neighbours(_edges(spark, d), _nodes(spark, d), "CIX:00000001", "trata")
 
 
-@catalog.add("two_hop_siblings", f"""select distinct b.source_code sibling from {_E} a join {_E} b on a.target_code = b.target_code and b.predicate in ('trata', 'causa') and b.source_code <> a.source_code
-    join {_N} n on n.canonical_code = b.source_code where a.source_code = 'CIX:00000001' and n.type = (select min(type) from graph_nodes where canonical_code = 'CIX:00000001')""")
+@catalog.add("two_hop_siblings", f"""with m as (select b.source_code sibling from {_E} a join {_E} b on a.target_code = b.target_code and b.predicate in ('trata', 'causa') and b.source_code <> a.source_code where a.source_code = 'CIX:00000001'
+    union select source_code from {_E} where target_code = 'CIX:00000001' and predicate in ('trata', 'causa') and source_code <> 'CIX:00000001')
+    select distinct sibling from m join {_N} n on n.canonical_code = sibling where n.type = (select min(type) from graph_nodes where canonical_code = 'CIX:00000001')""")
 def two_hop_siblings(spark: SparkSession, d: str) -> DataFrame:
     return j.two_hop_siblings(_edges(spark, d), _nodes(spark, d), "CIX:00000001", ["trata", "causa"])
 
@@ -83,10 +84,10 @@ def rollup_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @catalog.add("obsolete_edges", f"""select id from {_E} e where not exists (select 1 from knowledge_assets a where list_contains(e.asset_ids, a.id))
-    and source_code not in (select unnest(canonical_keys) from cards) and target_code not in (select unnest(canonical_keys) from cards) and source_code is not null and target_code is not null""")
+    and not exists (select 1 from (select unnest(canonical_keys) k from cards) c where c.k = e.source_code or c.k = e.target_code)""")
 def obsolete_edges(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "cards").select(F.explode("canonical_keys").alias("k")).distinct()
-    return j.obsolete_edges(_edges(spark, d).where("source_code is not null and target_code is not null"), table(spark, d, "knowledge_assets"), links)
+    return j.obsolete_edges(_edges(spark, d), table(spark, d, "knowledge_assets"), links)
 
 
 @catalog.add("orphan_links", "select distinct id from chunk_vectors where asset_id is not null and asset_id not in (select id from knowledge_assets)")
@@ -105,9 +106,9 @@ def anti_missing(spark: SparkSession, d: str) -> DataFrame:
     return j.missing(keys, table(spark, d, "graph_nodes").select(F.col("display_text").alias("canonical_key")), "canonical_key")
 
 
-@catalog.add("array_overlap_join", "select distinct a.id, q.asset from (select id, unnest(asset_ids) m from graph_edges where confidence > 0.95) a join (select id asset from knowledge_assets where deleted_at is null) q on a.m = q.asset")
+@catalog.add("array_overlap_join", "select distinct a.id, q.asset from (select id, unnest(asset_ids) m from graph_edges) a join (select id asset from knowledge_assets where deleted_at is null) q on a.m = q.asset")
 def array_overlap_join(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "graph_edges").where("confidence > 0.95")
+    e = table(spark, d, "graph_edges")
     a = table(spark, d, "knowledge_assets").where("deleted_at is null").select(F.col("id").alias("asset"), F.array("id").alias("own"))
     return j.overlapping_arrays(e, "id", "asset_ids", a, "asset", "own")
 
@@ -123,9 +124,9 @@ def fallback_cascade(spark: SparkSession, d: str) -> DataFrame:
     return j.first_non_empty([by_asset, by_field], "qid")
 
 
-@catalog.add("substring_theta_join", "select distinct c.canonical_term as name, t.id from (select canonical_term from canonical_terms where ref_id <= 60) c join terms t on contains(lower(t.term), lower(trim(c.canonical_term))) or contains(lower(coalesce(t.canonical_term, '')), lower(trim(c.canonical_term)))")
+@catalog.add("substring_theta_join", "select distinct c.canonical_term as name, t.id from canonical_terms c join terms t on contains(lower(t.term), lower(trim(c.canonical_term))) or contains(lower(coalesce(t.canonical_term, '')), lower(trim(c.canonical_term)))")
 def substring_theta_join(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "canonical_terms").where("ref_id <= 60").select(F.col("canonical_term").alias("name"))
+    names = table(spark, d, "canonical_terms").select(F.col("canonical_term").alias("name"))
     return j.substring_join(names, "name", "name", table(spark, d, "terms"), "id", ["term", "canonical_term"])
 
 
@@ -213,7 +214,7 @@ def fuzzy_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.add("graph_components")
 def graph_components(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "graph_edges").where("confidence > 0.9")
+    e = table(spark, d, "graph_edges")
     return connected_components(e, "source_code", "target_code")
 
 

@@ -62,9 +62,10 @@ def dedup_drop_similar(spark: SparkSession, d: str) -> DataFrame:
     return new.join(close, "vec_id", "left_anti").select("vec_id")
 
 
-@catalog.add("accent_fold", "select doc_id, strip_accents(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) folded from documents where length(text) < 400")
+@catalog.add("accent_fold", "select doc_id, length(f) chars, md5(f) folded from (select doc_id, strip_accents(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) f from documents)")
 def accent_fold(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("length(text) < 400").select("doc_id", fold(squeeze(F.col("text"))).alias("folded"))
+    f = table(spark, d, "documents").select("doc_id", fold(squeeze(F.col("text"))).alias("f"))
+    return f.select("doc_id", F.length("f").cast("bigint").alias("chars"), F.md5("f").alias("folded"))
 
 
 @catalog.add("keyword_form", "select id, trim(regexp_replace(regexp_replace(strip_accents(lower(front)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) words from (select distinct id, front from cards)")
@@ -92,9 +93,9 @@ def key_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "extracted_questions").where("statement is not null").select("id", "statement").distinct().select("id", c.key_terms(F.col("statement")).alias("terms"))
 
 
-@catalog.add("cloze_parts", r"select id, regexp_replace('{{c1::' || front || '::dica}} e {{c3::' || type || '}}', '\{\{c\d+::(.*?)(::.*?)?\}\}', '\1', 'g') plain, 4 nxt from (select distinct id, front, type from cards) where front is not null and type is not null and not contains(front, ':') and not contains(front, chr(10))")
+@catalog.add("cloze_parts", r"select id, regexp_replace('{{c1::' || front || '::dica}} e {{c3::' || type || '}}', '\{\{c\d+::(.*?)(::.*?)?\}\}', '\1', 'g') plain, 4 nxt from (select distinct id, front, type from cards) where front is not null and type is not null")
 def cloze_parts(spark: SparkSession, d: str) -> DataFrame:
-    cards = table(spark, d, "cards").where("front is not null and type is not null and not contains(front, ':') and not contains(front, '\n')").select("id", "front", "type").distinct()
+    cards = table(spark, d, "cards").where("front is not null and type is not null").select("id", "front", "type").distinct()
     text = F.concat(F.lit("{{c1::"), F.col("front"), F.lit("::dica}} e {{c3::"), F.col("type"), F.lit("}}"))
     return cards.select("id", c.strip_cloze(text).alias("plain"), c.next_cloze(text).alias("nxt"))
 
@@ -153,4 +154,4 @@ def longest_word_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.add("hash_vectors")
 def hash_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "cards").select("id", "front").distinct().select("id", F.transform(v.hash_vector(F.substring("front", 1, 200)), lambda x: F.round(x, 6)).alias("vector"))
+    return table(spark, d, "cards").select("id", "front").distinct().select("id", F.transform(v.hash_vector(F.col("front")), lambda x: F.round(x, 6)).alias("vector"))

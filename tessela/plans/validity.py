@@ -66,10 +66,10 @@ def relevant_context(spark: SparkSession, d: str) -> DataFrame:
     return v.blocks_in_budget(table(spark, d, "asset_texts"), "asset_id", "conteudo_texto", ["tratamento", "gestantes", "febre"], 3_500)
 
 
-@catalog.add("span_containment", """with li as (select distinct l_orderkey doc, l_linenumber s, l_linenumber + 1 e from lineitem where l_orderkey < 2000), it as (select o_orderkey doc, 'a' item, 1 a, 4 b from orders union all select o_orderkey, 'b', 3, 9 from orders)
+@catalog.add("span_containment", """with li as (select distinct l_orderkey doc, l_linenumber s, l_linenumber + 1 e from lineitem), it as (select o_orderkey doc, 'a' item, 1 a, 4 b from orders union all select o_orderkey, 'b', 3, 9 from orders)
     select doc, s "start", item from (select li.doc, s, item, row_number() over (partition by li.doc, s order by a, item) rn from li join it on li.doc = it.doc and s >= a and e <= b) where rn = 1""")
 def span_containment(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_orderkey < 2000").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end")).distinct()
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end")).distinct()
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc"))
     items = o.select("doc", F.lit("a").alias("item"), F.lit(1).alias("istart"), F.lit(4).alias("iend")).unionByName(o.select("doc", F.lit("b").alias("item"), F.lit(3).alias("istart"), F.lit(9).alias("iend")))
     return j.contained(li, items, "doc").select("doc", "start", "item")
@@ -82,10 +82,10 @@ def span_gaps(spark: SparkSession, d: str) -> DataFrame:
     return j.gaps(li, m, "doc").select("doc", "start")
 
 
-@catalog.add("manifest_difference", "select asset_id id, 'new' side from asset_texts where asset_id not in (select id from knowledge_assets where \"year\" is not null) union all select distinct id, 'orphan' from knowledge_assets where \"year\" is not null and id not in (select asset_id from asset_texts)")
+@catalog.add("manifest_difference", "select asset_id id, 'new' side from asset_texts where asset_id not in (select id from knowledge_assets) union all select distinct id, 'orphan' from knowledge_assets where id not in (select asset_id from asset_texts)")
 def manifest_difference(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "asset_texts").select(F.col("asset_id").alias("id")).distinct()
-    listed = table(spark, d, "knowledge_assets").where("year is not null").select("id").distinct()
+    listed = table(spark, d, "knowledge_assets").select("id").distinct()
     return files.join(listed, "id", "left_anti").withColumn("side", F.lit("new")).unionByName(listed.join(files, "id", "left_anti").withColumn("side", F.lit("orphan")))
 
 
@@ -104,11 +104,11 @@ def reuse_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @catalog.add("theme_parent", r"""with w as (select distinct a.ref_id, a.category, a.canonical_term theme, unnest(list_distinct(list_filter(regexp_split_to_array(strip_accents(lower(a.canonical_term)), '[^a-z0-9]+'), lambda x: length(x) > 2))) w from canonical_terms a),
-    p as (select * from w where ref_id <= 100), s as (select a.theme, p.theme topic, p.ref_id o, count(*) score from w a join p on a.category = p.category and a.w = p.w group by all)
+    p as (select * from w where len(string_split(theme, ' ')) <= 3), s as (select a.theme, p.theme topic, p.ref_id o, count(*) score from w a join p on a.category = p.category and a.w = p.w group by all)
     select theme, arg_max(topic, (score, -o)) topic, max(score) score from s group by 1""")
 def theme_parent(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "canonical_terms")
-    topics = c.where("ref_id <= 100").select("category", F.col("canonical_term").alias("topic"), "ref_id")
+    topics = c.where("size(split(canonical_term, ' ')) <= 3").select("category", F.col("canonical_term").alias("topic"), "ref_id")
     return v.best_parent(c.select("category", F.col("canonical_term").alias("theme")), "theme", topics, "topic", "ref_id", "category")
 
 

@@ -59,14 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``checkpoint()`` into the folder the cluster shares.
 
     ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (tests, local runs) is a folder of our own made: checkpoints in it survive
-    the loss of an executor, as all executors of a local session share it.
+    and the session is local (tests) is a folder of our own made, as its one
+    process reads and writes it; on a cluster the setting is required.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir", "")
         if not folder:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), f"tessela-checkpoints-{uuid.uuid4().hex}")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
