@@ -10,32 +10,34 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessela.functions.clean import keywords
+from tessela.functions.clean import STOP_WORDS, keywords
+from tessela.functions.text import fold, squeeze
 from tessela.operators.joins import small_or_shuffled
 from tessela.session import spread
 
-#: Words of the longest dictionary entry that is looked for.
-LONGEST = 8
 #: Entries up to which the dictionary is sent to the executors.
 MOST_ENTRIES = 500_000
 
 
-def dictionary(df: DataFrame, term: str, code: str | None = None) -> DataFrame:
-    """(norm, term, code): one row for each normal form, the least term and code; blank ones are left out."""
+def dictionary(df: DataFrame, term: str, code: str | None = None, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(norm, term, code): one row for each normal form, the least term and code; blank ones and stop words are left out."""
     d = df.select(F.trim(F.col(term)).alias("term"), (F.col(code) if code else F.lit(None).cast("string")).alias("code"))
-    d = d.withColumn("norm", keywords(F.col("term"))).where("norm != ''")
+    d = d.withColumn("norm", keywords(F.col("term"))).where("norm != ''").where(~F.col("norm").isin(*stop_words))
     return d.groupBy("norm").agg(F.min("term").alias("term"), F.min("code").alias("code"))
 
 
-def ngram_matches(texts: DataFrame, key: str, text: str, entries: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(key, first, last, norm, code): dictionary entries in the texts by word places, overlapping ones included."""
-    words = entries.agg(F.max(F.size(F.split("norm", " "))).alias("n")).first()["n"] or 0
-    longest = max(1, min(longest, words))
+def ngram_matches(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
+    """(key, first, last, norm, code): dictionary entries in the texts by word places, overlapping ones included.
+
+    Word groups of the lengths that the entries have are joined with them, however long these are.
+    """
+    lengths = sorted(r["n"] for r in entries.select(F.size(F.split("norm", " ")).alias("n")).distinct().collect())  # no more than the longest entry has words
     toks = spread(texts.select(key, text)).select(F.col(key), F.split(keywords(F.coalesce(F.col(text), F.lit(""))), " ").alias("w"))
-    grams = toks.select(key, F.posexplode(F.expr(f"transform(w, (x, i) -> transform(sequence(1, least({longest}, size(w) - i)), n -> struct(int(i) as first, int(i + n - 1) as last, array_join(slice(w, i + 1, n), ' ') as norm)))")).alias("p", "gs"))
+    sizes = f"array({', '.join(map(str, lengths or [1]))})"
+    grams = toks.select(key, F.posexplode(F.expr(f"transform(w, (x, i) -> transform(filter({sizes}, n -> n <= size(w) - i), n -> struct(int(i) as first, int(i + n - 1) as last, array_join(slice(w, i + 1, n), ' ') as norm)))")).alias("p", "gs"))
     flat = grams.select(key, F.explode("gs").alias("g")).select(key, "g.*").where("norm != ''")
     return flat.join(small_or_shuffled(entries.select("norm", "code")), "norm").select(key, "first", "last", "norm", "code")
 
@@ -89,50 +91,102 @@ def automaton_matches(texts: DataFrame, key: str, text: str, entries: DataFrame)
 
 
 def coverage_ratio(texts: DataFrame, key: str, text: str, matches: DataFrame) -> DataFrame:
-    """(key, words, covered, ratio): share of the words of each text that lie in a match."""
-    n = texts.select(key, F.size(F.split(keywords(F.col(text)), " ")).alias("words"))
-    c = matches.groupBy(key).agg(F.sum(F.col("last") - F.col("first") + 1).alias("covered"))
-    return n.join(c, key, "left").select(key, "words", F.coalesce("covered", F.lit(0)).alias("covered"), F.round(F.coalesce("covered", F.lit(0)) / F.col("words"), 6).alias("ratio"))
+    """(key, chars, covered, ratio): share of the characters of each normal text that lie in a match; 0 for empty ones.
+
+    Matches should not overlap (``resolve_overlaps``); a match has the characters of its entry.
+    """
+    n = texts.select(key, F.length(keywords(F.coalesce(F.col(text), F.lit("")))).alias("chars"))
+    c = matches.groupBy(key).agg(F.sum(F.length("norm")).alias("covered"))
+    covered = F.coalesce("covered", F.lit(0))
+    return n.join(c, key, "left").select(key, "chars", covered.alias("covered"), F.round(F.coalesce(covered / F.nullif(F.col("chars"), F.lit(0)), F.lit(0.0)), 6).alias("ratio"))
 
 
 # How relations are worded (patterns on folded text), and their names.
 TRIGGERS = (
-    ("TRATA", r"\b(trata|tratamento com|tratada com|indicad[oa] para)\b"),
-    ("CAUSA", r"\b(causa|causad[oa] por|provoca|leva a)\b"),
-    ("CURSA_COM", r"\b(cursa com|apresenta|apresentar|comecar (apenas )?com)\b"),
-    ("SUGERE", r"\b(sugere|exclui|aponta)\b"),
-    ("PREVINE", r"\b(previne|reduz)\b"),
-)
-NEGATIONS = ("nao", "sem", "nega", "nunca", "nem", "ausencia")
-
-
-def relations_in(sentence: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, str]]:
-    """(subject, predicate, object): for each trigger the nearest entity before it and after it in the sentence.
-
-    ``spans`` are word places and names.  A negation in the five words before the trigger marks the predicate.
+    ("CAUSA", r"\bcausa(m)?\b"), ("CAUSA", r"\bpode causar\b"), ("CAUSA", r"\bprovoca(m)?\b"), ("CAUSA", r"\blevam? a\b"), ("CAUSA", r"\bresulta(m)? em\b"), ("CAUSA", r"\bdesencadeia(m)?\b"),
+    ("CAUSA", r"\bpode levar a\b|\bpodem levar a\b"), ("CAUSA", r"\bé responsável por\b|\bsão responsáveis por\b"), ("CAUSA", r"\bocasiona(m)?\b"),
+    ("TRATAMENTO", r"\btrata(m)?\b|\btratamento (para|de|inclui)\b"), ("TRATAMENTO", r"\bindicado (para|em)\b|\bindicados? (para|em)\b"), ("TRATAMENTO", r"\bo tratamento consiste em\b"),
+    ("TRATAMENTO", r"\butilizado(a)? (no|na|para o|para a) tratamento\b"), ("TRATAMENTO", r"\badministra(-se)?\b"), ("TRATAMENTO", r"\bprescrito(a)? (para|em)\b"),
+    ("TRATAMENTO", r"\bde escolha (para|no tratamento de)\b"), ("TRATAMENTO", r"\bterapia (para|de|com)\b"),
+    ("FATOR_DE_RISCO", r"\bfator(es)? de risco (para|de)\b"), ("FATOR_DE_RISCO", r"\baumenta(m)? o risco de\b"), ("FATOR_DE_RISCO", r"\bpredisp(õe|õem) a\b|\bpredispõe a\b"),
+    ("FATOR_DE_RISCO", r"\bfavorece(m)? o (desenvolvimento|aparecimento) de\b"),
+    ("CONTRAINDICACAO", r"\bcontraindicad[oa]s? (em|para)\b"), ("CONTRAINDICACAO", r"\bnão deve(m)? ser (usado|administrado|utilizado)s? (em|com|na presença de)\b"), ("CONTRAINDICACAO", r"\bevitar (o uso de|em)\b"),
+    ("MANIFESTACAO", r"\bsintoma(s)? de\b|\bmanifesta-se com\b|\bapresenta-se com\b"), ("MANIFESTACAO", r"\bcaracteriza(-se)? por\b"), ("MANIFESTACAO", r"\bcursa(m)? com\b"),
+    ("MANIFESTACAO", r"\bmanifesta(m)?-se por\b"), ("MANIFESTACAO", r"\bpode(m)? apresentar\b"),
+    ("ASSOCIACAO", r"\bassociad[oa]s? (a|com)\b|\brelacionad[oa]s? (a|com)\b"), ("ASSOCIACAO", r"\bcorrelaciona(-se)? com\b"),
+    ("DIAGNOSTICO_POR", r"\bdiagnosticad[oa]s? (por|com|através de)\b"), ("DIAGNOSTICO_POR", r"\bconfirmado(a)? (por|com|através de)\b"), ("DIAGNOSTICO_POR", r"\bdetectad[oa]s? (por|com|através de)\b"),
+    ("DIAGNOSTICO_POR", r"\bo exame de escolha (é|para)\b"),
+    ("MECANISMO_DE_ACAO", r"\bage(m)? (sobre|em|no|na)\b|\batua(m)? (sobre|em|no|na)\b"), ("MECANISMO_DE_ACAO", r"\binibe(m)?\b"), ("MECANISMO_DE_ACAO", r"\bestimula(m)?\b"), ("MECANISMO_DE_ACAO", r"\bbloqueia(m)?\b"),
+    ("MECANISMO_DE_ACAO", r"\bativa(m)?\b"), ("MECANISMO_DE_ACAO", r"\breduz(em)?\b"), ("MECANISMO_DE_ACAO", r"\baumenta(m)? a (produção|secreção|liberação) de\b"),
+    ("EFEITO_ADVERSO", r"\befeito(s)? colateral(is)? (de|do|da)\b"), ("EFEITO_ADVERSO", r"\befeito(s)? adverso(s)? (de|do|da)\b"), ("EFEITO_ADVERSO", r"\bpode(m)? causar como efeito colateral\b"),
+    ("EFEITO_ADVERSO", r"\breação(ões)? adversa(s)? (a|ao|à)\b"),
+    ("PREVENCAO", r"\bprevine(m)?\b"), ("PREVENCAO", r"\breduz(em)? o risco de\b"), ("PREVENCAO", r"\bprofilaxia (para|de|do|da)\b"),
+    ("IRRIGACAO", r"\birriga(m)?\b"), ("IRRIGACAO", r"\bsuprido(a)? por\b|\bsupre(m)?\b"), ("IRRIGACAO", r"\bvasculariza(m|do|da)?\b"),
+    ("INERVACAO", r"\bineva(m)?\b|\binerva(m)?\b"), ("INERVACAO", r"\binervado(a)? por\b"),
+    ("DRENAGEM", r"\bdrena(m)?\b"), ("DRENAGEM", r"\bdrenado(a)? por\b"),
+    ("LOCALIZACAO", r"\blocaliza(-se)? (em|no|na)\b|\bsitua(-se)? (em|no|na)\b"), ("LOCALIZACAO", r"\bencontra(-se)? (em|no|na)\b"),
+    ("COMPOSICAO", r"\bcompõe(m)?\b|\bcompo[e|õe] (o|a)\b"), ("COMPOSICAO", r"\bfaz(em)? parte (de|do|da)\b|\bconstitui(em)?\b"),
+    ("REGULACAO", r"\bregula(m)?\b"), ("REGULACAO", r"\bcontrola(m)?\b"), ("REGULACAO", r"\bmodula(m)?\b"),
+    ("CLASSIFICACAO", r"\bclassifica(-se)? em\b|\b[eé] classificad[oa] como\b"), ("CLASSIFICACAO", r"\bsubdivide(-se)? em\b|\bdivide(-se)? em\b"),
+    ("CLASSIFICACAO", r"\btipos? de\b(?=.{0,40}\b(classifica[cç][aã]o|classificam)\b)"),
+    ("EPIDEMIOLOGIA", r"\bmais comum (em|no|na)\b|\bmais frequente (em|no|na)\b"), ("EPIDEMIOLOGIA", r"\bacomete(m)? principalmente\b|\bacomete(m)? predominantemente\b"),
+    ("EPIDEMIOLOGIA", r"\bprevalente (em|no|na)\b|\bpreval[eê]ncia (em|no|na)\b"), ("EPIDEMIOLOGIA", r"\bincide(m)? (em|sobre)\b"),
+    ("COMPLICACAO", r"\bevolui(em)? para\b|\bpode(m)? evoluir para\b"), ("COMPLICACAO", r"\bcomplica(-se)? com\b|\bcomplica[cç][aã]o(ões|oes)? (de|do|da)\b"), ("COMPLICACAO", r"\bpode(m)? progredir para\b"),
+    ("PROGNOSTICO", r"\bprogn[oó]stico (reservado|favor[aá]vel|desfavor[aá]vel|bom|ruim)\b"), ("PROGNOSTICO", r"\btaxa(s)? de (mortalidade|sobrevida) (de|em|para)\b"),
+)
+# What negates a relation (folded).
+NEGATIONS = ("nao", "nunca", "jamais", "nenhum", "nenhuma", "sem", "ausencia de", "raramente", "dificilmente", "nao costuma", "nao deve ser confundido com")
+# How kinds of entities and relations are named in the graph.
+ENTITY_TYPES = {"DOENCA": "disease", "MEDICAMENTO": "medication", "SINTOMA": "symptom", "ESTRUTURA_ANATOMICA": "anatomy", "EXAME": "exam", "PROCEDIMENTO": "procedure"}
+PREDICATES = {
+    "CAUSA": "causa", "TRATAMENTO": "trata", "FATOR_DE_RISCO": "causa", "CONTRAINDICACAO": "contraindica", "MANIFESTACAO": "é_sintoma_de", "ASSOCIACAO": "associado_a", "DIAGNOSTICO_POR": "diagnostica",
+    "MECANISMO_DE_ACAO": "mecanismo_de_acao", "EFEITO_ADVERSO": "complica", "PREVENCAO": "previne", "IRRIGACAO": "irriga", "INERVACAO": "inerva", "DRENAGEM": "drena", "LOCALIZACAO": "localizado_em",
+    "COMPOSICAO": "compoe", "REGULACAO": "regula", "CLASSIFICACAO": "classifica_como", "COMPLICACAO": "complica", "EPIDEMIOLOGIA": "associado_a", "PROGNOSTICO": "associado_a",
+}
+
+_TRIGGERS = [(name, re.compile(pattern, re.ASCII)) for name, pattern in TRIGGERS]
+_NEGATED = re.compile(r"\b(?:" + "|".join(NEGATIONS) + r")\b", re.ASCII)
+_ALNUM = re.compile("[a-z0-9]+")
+
+
+def named(c: Column, names: dict[str, str]) -> Column:
+    """The graph's name of a kind; unknown ones in lower case, null stays null."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c], F.lower(c))
+
+
+def relations_in(sentence: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, str, str]]:
+    """(subject, relation, object, trigger) of a folded sentence; ``spans`` are word places and names of its entities.
+
+    A trigger relates every entity that ends between the trigger before and itself with every one that starts between
+    itself and the next trigger, except an entity with itself.  A negation within the five words before the trigger that
+    stand behind the subject marks the relation.
     """
-    words, out = sentence.split(" "), []
-    at = [0]
-    for w in words:
-        at.append(at[-1] + len(w) + 1)
-    for name, pattern in TRIGGERS:
-        for m in re.finditer(pattern, sentence):
-            first = sum(1 for x in at[1:] if x <= m.start())
-            last = sum(1 for x in at[1:] if x <= m.end() - 1)
-            before = [s for s in spans if s[1] < first]
-            after = [s for s in spans if s[0] > last]
-            if before and after:
-                neg = any(w in NEGATIONS for w in words[max(0, first - 5) : first])
-                out.append((max(before, key=lambda s: s[1])[2], ("NEGACAO_" if neg else "") + name, min(after, key=lambda s: s[0])[2]))
+    hits = sorted(((m.start(), m.end(), name) for name, pattern in _TRIGGERS for m in pattern.finditer(sentence)), key=lambda h: h[:2])
+    if not hits:
+        return []
+    words = [m.span() for m in _ALNUM.finditer(sentence)]
+    places = [(words[a][0], words[z][1], name) for a, z, name in spans if z < len(words)]
+    starts = [h[0] for h in hits] + [len(sentence)]
+    out, before = [], 0
+    for (start, end, name), following in zip(hits, starts[1:]):
+        subjects = [p for p in places if before < p[1] <= start]
+        objects = [p for p in places if end <= p[0] < following]
+        for s in subjects if objects else ():
+            near = sentence[max(before, s[1]) : start].split()[-5:]
+            kind = f"NEGACAO_{name}" if _NEGATED.search(" ".join(near)) else name
+            out += [(s[2], kind, o[2], sentence[start:end]) for o in objects if o[2] != s[2]]
+        before = end
     return out
 
 
 def relations(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
-    """(key, sentence_no, subject, predicate, object), each once a sentence."""
-    sentences = texts.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+|\n+")).alias("sentence_no", "s")).withColumn("sid", F.concat_ws("\x01", F.col(key).cast("string"), "sentence_no"))
+    """(key, sentence_no, subject, relation, object, trigger), each once a sentence; a sentence ends at . ! or ?"""
+    sentences = texts.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])")).alias("sentence_no", "s"))
+    sentences = sentences.withColumn("s", squeeze(fold(F.col("s")))).where(F.col("s").rlike("|".join(f"(?:{p})" for _, p in TRIGGERS).replace(r"\b", "")))
+    sentences = sentences.withColumn("sid", F.concat_ws("\x01", F.col(key).cast("string"), "sentence_no"))
     found = resolve_overlaps(ngram_matches(sentences, "sid", "s", entries), "sid")
     grouped = found.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("first", "last", "norm"))).alias("spans")).where("size(spans) > 1")
-    ready = sentences.join(grouped, "sid").select(key, "sentence_no", keywords(F.col("s")).alias("s"), "spans")
+    ready = sentences.join(grouped, "sid").select(key, "sentence_no", "s", "spans")
     kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +194,10 @@ def relations(texts: DataFrame, key: str, text: str, entries: DataFrame) -> Data
             out = []
             for k, n, s, spans in zip(*(b.column(i).to_pylist() for i in range(4))):
                 out += [(k, n, *r) for r in dict.fromkeys(relations_in(s, [(x["first"], x["last"], x["norm"]) for x in spans]))]
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.string()) for c in cols[2:])], [key, "sentence_no", "subject", "predicate", "object"])
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.string()) for c in cols[2:])], [key, "sentence_no", "subject", "relation", "object", "trigger"])
 
-    return ready.mapInArrow(run, f"`{key}` {kind}, sentence_no int, subject string, predicate string, object string")
+    return ready.mapInArrow(run, f"`{key}` {kind}, sentence_no int, subject string, relation string, object string, trigger string")
 
 
 def neighbours_of_trigger(matches: DataFrame, key: str) -> DataFrame:

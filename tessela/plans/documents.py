@@ -64,7 +64,13 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 @catalog.add("relation_rollup")
 def relation_rollup(spark: SparkSession, d: str) -> DataFrame:
     r = n.relations(_texts(spark, d), "doc_id", "text", _entries(spark, d))
-    return r.groupBy("subject", "predicate", "object").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+    return r.groupBy("subject", n.named(F.col("relation"), n.PREDICATES).alias("predicate"), "object").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+
+
+@catalog.add("graph_names", "select distinct category, coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in n.ENTITY_TYPES.items()) + "}[upper(category)], lower(upper(category))) as type from terms")
+def graph_names(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's names of the categories of terms."""
+    return table(spark, d, "terms").select("category").distinct().select("category", n.named(F.upper("category"), n.ENTITY_TYPES).alias("type"))
 
 
 def _options(spark: SparkSession, d: str) -> DataFrame:

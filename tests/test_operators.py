@@ -178,11 +178,48 @@ def test_ner_forms_agree(spark):
     assert [(r["first"], r["last"]) for r in kept] == [(2, 5)]
 
 
+def _spans(sentence, *names):
+    words = sentence.replace(",", " ").replace(".", " ").split()
+    out = []
+    for name in names:
+        n = len(name.split())
+        out += [(i, i + n - 1, name) for i in range(len(words)) if " ".join(words[i : i + n]) == name]
+    return sorted(out)
+
+
 def test_relations():
-    s = "nao se sabe se a febre causa asma e a tosse sugere gripe"
-    spans = [(5, 5, "febre"), (7, 7, "asma"), (10, 10, "tosse"), (12, 12, "gripe")]
-    assert set(ner.relations_in(s, spans)) == {("febre", "CAUSA", "asma"), ("tosse", "SUGERE", "gripe")}
-    assert ner.relations_in("a febre nao causa asma", [(1, 1, "febre"), (4, 4, "asma")]) == [("febre", "NEGACAO_CAUSA", "asma")]
+    def found(sentence, *names):
+        return [r[:3] for r in ner.relations_in(sentence, _spans(sentence, *names))]
+
+    s = "a hipertensao e o diabetes tipo 2 sao fatores de risco para o avc, que causa dispneia."
+    assert found(s, "hipertensao", "diabetes tipo 2", "avc", "dispneia") == [("hipertensao", "FATOR_DE_RISCO", "avc"), ("diabetes tipo 2", "FATOR_DE_RISCO", "avc"), ("avc", "CAUSA", "dispneia")]
+    assert found("a febre causa febre e asma", "febre", "asma") == [("febre", "CAUSA", "asma")]
+    assert found("a metformina nao causa hipoglicemia", "metformina", "hipoglicemia") == [("metformina", "NEGACAO_CAUSA", "hipoglicemia")]
+    assert found("nao se sabe se a febre causa asma e tosse", "febre", "asma", "tosse") == [("febre", "CAUSA", "asma"), ("febre", "CAUSA", "tosse")]
+    assert found("o choque apresenta prognostico reservado no infarto", "choque", "infarto") == [("choque", "PROGNOSTICO", "infarto")]
+    assert found("o diabetes pode evoluir para insuficiencia", "diabetes", "insuficiencia") == [("diabetes", "COMPLICACAO", "insuficiencia")]
+    assert found("a febre e a tosse", "febre", "tosse") == found("causa febre", "febre") == []
+
+
+def test_relations_of_texts(spark):
+    entries = ner.dictionary(spark.createDataFrame([("Febre",), ("tosse seca",), ("Asma",), ("paciente",)], "t string"), "t")
+    texts = spark.createDataFrame([(1, "A febre causa tosse seca. A asma não causa febre! O paciente causa asma."), (2, None), (3, "Febre.\nCausa asma.")], "id int, t string")
+    got = {tuple(r) for r in ner.relations(texts, "id", "t", entries).collect()}
+    assert got == {(1, 0, "febre", "CAUSA", "tosse seca", "causa"), (1, 1, "asma", "NEGACAO_CAUSA", "febre", "causa")}
+
+
+def test_long_entries_in_both_forms(spark):
+    name = " ".join(f"palavra{i}" for i in range(12))
+    entries = ner.dictionary(spark.createDataFrame([(name,), ("asma",)], "t string"), "t")
+    texts = spark.createDataFrame([(1, f"antes {name} depois asma"), (2, "")], "id int, t string")
+    a, b = ner.ngram_matches(texts, "id", "t", entries), ner.automaton_matches(texts, "id", "t", entries)
+    assert rows(a) == rows(b) and a.count() == 2
+    assert rows(ner.coverage_ratio(texts, "id", "t", a).select("id", "ratio"))[1] == (2, 0.0)
+
+
+def test_deep_tree(spark):
+    df = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x")], "k string, p string")
+    assert filters.tree_levels(df, "k", "p").count() == 40
 
 
 def test_exam_split():
