@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessela.catalog import Catalog
 from tessela.functions.text import fold
 from tessela.operators import joins as j
-from tessela.operators import review
+from tessela.operators import review, rollups
 from tessela.operators.components import connected_components
 from tessela.session import table
 
@@ -262,3 +262,65 @@ def code_resolution(spark: SparkSession, d: str) -> DataFrame:
 def interval_text(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "cards").dropDuplicates(["id"])
     return c.groupBy(review.interval_text(F.coalesce("sm2.interval", F.lit(0)), F.lit(0)).alias("shown")).agg(F.count("*").alias("n"))
+
+
+def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations as they may be read from the chunks of assets: the ends of the edges, and the edges."""
+    nodes = table(spark, d, "graph_nodes").groupBy(F.col("canonical_code").alias("c")).agg(F.min("display_text").alias("t"), F.min("type").alias("type"), F.min("code_system").alias("code_system"))
+    e = _edges(spark, d).select("id", "source_code", "target_code", "predicate", "confidence", F.explode(F.array_distinct("asset_ids")).alias("asset"))
+    end = lambda code, mark: e.select("asset", F.concat("id", F.lit(mark)).alias("seq"), F.col(code).alias("c"), "confidence").join(nodes, "c")
+    both = end("source_code", "#0").unionByName(end("target_code", "#1"))
+    entities = both.select("asset", "seq", F.coalesce("t", "c").alias("text"), "type", "code_system", F.when(F.col("code_system").isNotNull(), F.col("c")).alias("code"), "confidence")
+    name = lambda code, out: nodes.select(F.col("c").alias(code), F.coalesce("t", "c").alias(out))
+    relations = e.join(name("source_code", "s"), "source_code", "left").join(name("target_code", "o"), "target_code", "left")
+    return entities, relations.select("asset", F.col("id").alias("seq"), F.coalesce("s", "source_code").alias("subject"), "predicate", F.coalesce("o", "target_code").alias("object"), "confidence")
+
+
+_MENTIONS = """n as (select canonical_code c, min(display_text) t, min(type) ty, min(code_system) cs from graph_nodes group by 1),
+    e as (select id, source_code, target_code, predicate, confidence, unnest(list_distinct(asset_ids)) chunk from (select distinct id, source_code, target_code, predicate, confidence, asset_ids from graph_edges)),
+    m as (select chunk, id || '#0' seq, c, t, ty, cs, confidence from e join n on c = source_code union all select chunk, id || '#1', c, t, ty, cs, confidence from e join n on c = target_code),
+    k as (select chunk, seq, coalesce(t, c) txt, strip_accents(lower(trim(coalesce(t, c)))) norm, coalesce(ty, 'finding') "type", cs, case when cs is not null then c end code, coalesce(confidence, 0.8) conf from m),
+    d as (select chunk, norm, "type", arg_min(txt, seq) "text", arg_min(cs, seq) filter (code is not null) cs1, arg_min(cs, seq) cs0, arg_min(code, seq) filter (code is not null) code, max(conf) confidence, min(seq) seq from k where norm <> '' group by all),
+    x as (select chunk, norm, "type", "text", case when code is not null then cs1 else cs0 end code_system, code, coalesce(case when code is not null then cs1 || ':' || code end, trim(regexp_replace(regexp_replace(norm, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) canonical_key, confidence, seq from d)"""
+
+
+@catalog.add("chunk_entities", f"with {_MENTIONS} select * from x")
+def chunk_entities(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.dedup_entities(_mentions(spark, d)[0], "asset", "seq")
+
+
+@catalog.add("chunk_relations", f"""with {_MENTIONS}, r as (select chunk, strip_accents(lower(trim(coalesce(a.t, source_code)))) subject, predicate, strip_accents(lower(trim(coalesce(b.t, target_code)))) "object", max(coalesce(confidence, 0.8)) confidence
+    from e left join n a on a.c = source_code left join n b on b.c = target_code where source_code is not null and target_code is not null and predicate <> '' group by all),
+    l as (select chunk, norm, arg_max(canonical_key, (seq, "type")) "key" from x group by all)
+    select r.chunk, subject, predicate, "object", s."key" subject_key, o."key" object_key, confidence from r join l s on s.chunk = r.chunk and s.norm = subject join l o on o.chunk = r.chunk and o.norm = "object" """)
+def chunk_relations(spark: SparkSession, d: str) -> DataFrame:
+    entities, relations = _mentions(spark, d)
+    return rollups.dedup_relations(relations, "asset", "seq", rollups.dedup_entities(entities, "asset", "seq"))
+
+
+def _index_sql(by: str) -> str:
+    return f"""select {by}canonical_key, count(*) n, coalesce(arg_max("text", (chunk, seq, "type")) filter (confidence > 0.85), arg_min("text", (chunk, seq, "type"))) display, arg_min("type", (chunk, seq, "type")) "type",
+    arg_max(code_system, (chunk, seq, "type")) filter (code_system is not null) code_system, arg_max(code, (chunk, seq, "type")) filter (code is not null) code,
+    list_distinct(list(chunk order by chunk, seq, "type")) assets, list_distinct(list("text" order by chunk, seq, "type")) texts from x group by all"""
+
+
+def _sizes(df: DataFrame) -> DataFrame:
+    """Sets by their size and their members in the order of the alphabet."""
+    show = lambda c: F.md5(F.array_join(F.array_sort(c), "|")).alias(c)
+    return df.select("canonical_key", "n", "display", "type", "code_system", "code", F.size("assets").cast("bigint").alias("n_assets"), show("assets"), show("texts"))
+
+
+_SIZES = """canonical_key, n, display, "type", code_system, code, len(assets) n_assets, md5(array_to_string(list_sort(assets), '|')) assets, md5(array_to_string(list_sort(texts), '|')) texts"""
+
+
+@catalog.add("entity_index", f"with {_MENTIONS}, i as ({_index_sql('')}) select {_SIZES} from i")
+def entity_index(spark: SparkSession, d: str) -> DataFrame:
+    return _sizes(rollups.entity_index(rollups.dedup_entities(_mentions(spark, d)[0], "asset", "seq")))
+
+
+@catalog.add("index_merge", f"""with {_MENTIONS}, i as ({_index_sql("right(chunk, 1) part, ")}), g as (select canonical_key, sum(n)::bigint n, arg_min(display, part) display, arg_min("type", part) "type", arg_min_null(code_system, part) code_system, arg_min_null(code, part) code,
+    list_distinct(flatten(list(assets))) assets, list_distinct(flatten(list(texts))) texts from i group by 1) select {_SIZES} from g""")
+def index_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The index of each part of the assets (by the last digit of their ids), and these merged."""
+    entities = rollups.dedup_entities(_mentions(spark, d)[0], "asset", "seq").withColumn("part", F.right("chunk", F.lit(1)))
+    return _sizes(rollups.merge_indexes(rollups.entity_index(entities, ["part"]), "part"))
