@@ -97,10 +97,14 @@ RISK_PATTERNS = (
 )
 
 
+#: Where an ASCII letter, digit or _ and another sign meet, as in the patterns' own dialect; letters with accents are others.
+ASCII_BOUND = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
 def is_risky(c: Column) -> Column:
     """Whether a text names a dose, a risk or a conduct; null doesn't."""
     low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return reduce(or_, [low.rlike(p) for p in RISK_PATTERNS])
+    return reduce(or_, [low.rlike(p.replace(r"\b", ASCII_BOUND)) for p in RISK_PATTERNS])
 
 
 def is_legible(c: Column, least_chars: int = 50, least_words: int = 5) -> Column:

@@ -7,6 +7,7 @@ the dictionary, and an automaton over whole texts, for dictionaries of a bounded
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,11 +44,31 @@ def ngram_matches(texts: DataFrame, key: str, text: str, entries: DataFrame) ->
 
 
 def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
-    """Of matches that overlap the longest stay, of equals the leftmost: taken greedily over each text's sorted matches."""
+    """Of matches that overlap the longest stay, of equals the leftmost: taken greedily over each text's sorted matches.
+
+    The places taken are marked, so a text takes time in proportion to its words.
+    """
     seq = F.array_sort(F.collect_list(F.struct((F.col("first") - F.col("last")).alias("short"), "first", "last", "norm", "code")))
-    empty = F.array().cast("array<struct<short:int,first:int,last:int,norm:string,code:string>>")
-    kept = F.aggregate(seq, empty, lambda acc, m: F.when(F.exists(acc, lambda k: (k["first"] <= m["last"]) & (m["first"] <= k["last"])), acc).otherwise(F.concat(acc, F.array(m))))
-    return matches.groupBy(key).agg(kept.alias("ms")).select(key, F.explode("ms").alias("m")).select(key, "m.first", "m.last", "m.norm", "m.code")
+    kind = dict(matches.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, kept = [], []
+            for i, ms in enumerate(b.column(1).to_pylist()):
+                taken = bytearray(max(m["last"] for m in ms) + 1)
+                for m in ms:
+                    first, end = m["first"], m["last"] + 1
+                    if not any(taken[first:end]):
+                        taken[first:end] = b"\x01" * (end - first)
+                        rows.append(i)
+                        kept.append(m)
+            cols = [pa.array([m[c] for m in kept], t) for c, t in (("first", pa.int32()), ("last", pa.int32()), ("norm", pa.string()), ("code", pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *cols], [key, "first", "last", "norm", "code"])
+
+    return matches.groupBy(key).agg(seq.alias("ms")).mapInArrow(run, f"`{key}` {kind}, first int, last int, norm string, code string")
+
+
+_automata: dict[str, object] = {}
 
 
 def automaton_matches(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
@@ -59,16 +80,17 @@ def automaton_matches(texts: DataFrame, key: str, text: str, entries: DataFrame)
     rows = [(r["norm"], r["code"]) for r in entries.select("norm", "code").collect()]
     shared = texts.sparkSession.sparkContext.broadcast(rows)
     kind = dict(texts.dtypes)[key]
-    built: dict[int, object] = {}
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if 0 not in built:
+        if mark not in _automata:  # one for all tasks of a worker
             a = ahocorasick.Automaton()
             for norm, code in shared.value:
                 a.add_word(f" {norm} ", (norm, code))
             a.make_automaton()
-            built[0] = a
-        auto = built[0]
+            _automata.clear()
+            _automata[mark] = a
+        auto = _automata[mark]
         for b in batches:
             out = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -21,10 +21,16 @@ def best_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1
 
 
 def budget_prefix(df: DataFrame, group: list[str], order: list[Column], cost: Column, budget: int) -> DataFrame:
-    """The rows of each group up to the first that would exceed the budget; the first row always.  Adds ``used``."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    run = df.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
-    return run.where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")
+    """The rows of each group up to the first that would exceed the budget; the first row always.  Adds ``used``.
+
+    Costs aren't negative.  A group with very many rows is pre-cut in salted parts: what a part alone makes exceed the
+    budget, but for the first such row, isn't needed, so that no task sums up such a group.
+    """
+    part = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    costed = df.withColumn("_c", cost).withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(32)))
+    cut = costed.withColumn("_u", F.sum("_c").over(part(*group, "_s"))).where(F.col("_u") - F.col("_c") <= budget).drop("_s", "_u")
+    run = cut.withColumn("used", F.sum("_c").over(part(*group))).withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return run.where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n", "_c")
 
 
 def streaks(df: DataFrame, group: list[str], day: str) -> DataFrame:
@@ -72,9 +78,15 @@ def repeated_run(df: DataFrame, group: list[str], order: list[Column], value: st
     return df.withColumn("_same", F.coalesce(same, F.lit(False))).where("_same").drop("_same")
 
 
-def even_split(df: DataFrame, group: list[str], order: list[Column], total: int) -> DataFrame:
-    """Adds ``quota``: the total shared out evenly over the rows of a group, the rest to the first ones."""
-    w = Window.partitionBy(*group)
-    n = F.count("*").over(w)
-    i = F.row_number().over(w.orderBy(*order))
-    return df.withColumn("quota", (F.floor(F.lit(total) / n) + F.when(i <= F.lit(total) % n, 1).otherwise(0)).cast("bigint"))
+def even_split(df: DataFrame, group: list[str], key: list[str], order: list[Column], total: int) -> DataFrame:
+    """Adds ``quota``: the total shared out evenly over the rows of a group, the rest to the first ones.
+
+    Only the first ``total`` rows of a group can get a share of the rest, so only these are ranked; ``key`` tells rows apart.
+    """
+    names = [f"_g{i}" for i in range(len(group))]
+    n = df.groupBy(*[F.col(g).alias(x) for g, x in zip(group, names)]).agg(F.count("*").alias("_n"))
+    first = best_per_key(df, group, order, total).withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], "_i")
+    same = lambda a, b: [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(a, b)]
+    out = df.join(n, same(group, names)).join(first, same(key, [f"_k{i}" for i in range(len(key))]), "left")
+    more = F.when(F.col("_i") <= F.lit(total) % F.col("_n"), 1).otherwise(0)
+    return out.withColumn("quota", (F.floor(F.lit(total) / F.col("_n")) + more).cast("bigint")).select(*df.columns, "quota")

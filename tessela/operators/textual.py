@@ -72,18 +72,21 @@ def chunk_texts(df: DataFrame, keys: list[str], text: str, tokens: int = 500, ov
 
 
 def longest_common_run(a: list[str], b: list[str]) -> tuple[int, str]:
-    """The longest run of words that both have, the first one in a."""
-    best, end = 0, 0
-    prev = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        now = [0] * (len(b) + 1)
-        for k, y in enumerate(b, 1):
-            if x == y:
-                now[k] = prev[k - 1] + 1
-                if now[k] > best:
-                    best, end = now[k], i
-        prev = now
-    return best, " ".join(a[end - best : end])
+    """The longest run of words that both have, the first one in a.
+
+    A common run of n words holds one of n - 1, so the length is found by halving; runs of a length are compared as sets.
+    """
+    runs = lambda ws, n: list(zip(*(ws[i:] for i in range(n))))
+    low, high, at = 0, min(len(a), len(b)), 0
+    while low < high:
+        n = (low + high + 1) // 2
+        known = set(runs(b, n))
+        found = next((i for i, r in enumerate(runs(a, n)) if r in known), None)
+        if found is None:
+            high = n - 1
+        else:
+            low, at = n, found
+    return low, " ".join(a[at : at + low])
 
 
 def overlap_words(t: str | None) -> list[str]:

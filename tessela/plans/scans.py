@@ -115,7 +115,7 @@ def third_party_sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(third_party(F.col("source"), ("acervo", "forum"))).select("source").distinct()
 
 
-@catalog.add("risk_flags")
+@catalog.add("risk_flags", "select doc_id from documents where " + " or ".join(f"regexp_matches(lower(trim(text)), '{p}')" for p in f.RISK_PATTERNS))
 def risk_flags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(f.is_risky(F.col("text"))).select("doc_id")
 
@@ -205,7 +205,7 @@ def streak_of_three(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.add("quota_split", "select id, (100 // n + case when i <= 100 % n then 1 else 0 end)::bigint quota from (select id, count(*) over (partition by category) n, row_number() over (partition by category order by id) i from decks)")
 def quota_split(spark: SparkSession, d: str) -> DataFrame:
-    return o.even_split(table(spark, d, "decks"), ["category"], [F.asc("id")], 100).select("id", "quota")
+    return o.even_split(table(spark, d, "decks"), ["category"], ["id"], [F.asc("id")], 100).select("id", "quota")
 
 
 @catalog.add("adaptive_top_k", "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by n_chars desc, doc_id) rn, least(30, 5 + ceil(count(*) over (partition by source) / 300.0)) k from documents) where rn <= k")

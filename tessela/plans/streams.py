@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessela.catalog import Catalog
-from tessela.session import table
+from tessela.session import shared_folder, table
 from tessela.streaming import streams as s
 
 catalog = Catalog()
@@ -21,9 +20,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ran(stream: DataFrame, mode: str = "append") -> DataFrame:
-    folder = stream.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tessela-stream-")
-    name = f"s_{uuid.uuid4().hex}"
-    return s.run_to_table(stream, name, f"{folder}/{name}", mode)
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return s.run_to_table(stream, f"{folder}/out", f"{folder}/state", mode)
 
 
 @catalog.add("stream_daily_counts", "select strftime(ts, '%Y-%m-%d') \"day\", event_type, count(*) n from events group by all")

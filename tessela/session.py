@@ -55,20 +55,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the folder the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    and the session is local (tests) is a folder of our own made, as its one
-    process reads and writes it; on a cluster the setting is required.
+    Only where it is unset and the session is local (tests) is a folder of our own made, as its one process reads and
+    writes it; on a cluster the setting is required.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", "") or getattr(sc, "_tessela_folder", "")
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = sc._tessela_folder = os.path.join(tempfile.gettempdir(), f"tessela-checkpoints-{uuid.uuid4().hex}")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` into the shared folder; one that the session has set already is kept."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", "")
-        if not folder:
-            if sc.master != "local" and not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), f"tessela-checkpoints-{uuid.uuid4().hex}")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -217,6 +217,37 @@ def test_long_entries_in_both_forms(spark):
     assert rows(ner.coverage_ratio(texts, "id", "t", a).select("id", "ratio"))[1] == (2, 0.0)
 
 
+def test_budget_of_a_hot_group(spark):
+    """A third of all rows in one group, single rows over the budget in between: as a running sum says."""
+    costs = [(i, "hot" if i % 3 else f"g{i % 5}", (i * 37) % 90 + (5_000 if i % 211 == 7 else 0)) for i in range(3_000)]
+    df = spark.createDataFrame(costs, "i int, g string, c int")
+    want, used = set(), {}
+    for i, g, c in costs:
+        before = used.get(g)
+        used[g] = (before or 0) + c
+        if before is None or used[g] <= 2_500:
+            want.add((i, used[g]))
+    assert {(r["i"], r["used"]) for r in ordering.budget_prefix(df, ["g"], [F.asc("i")], F.col("c"), 2_500).collect()} == want
+
+
+def test_even_split(spark):
+    df = spark.createDataFrame([(i, None if i < 3 else "a" if i < 300 else "b") for i in range(310)], "i int, g string")
+    got = {r["i"]: r["quota"] for r in ordering.even_split(df, ["g"], ["i"], [F.asc("i")], 100).collect()}
+    assert [got[i] for i in range(3)] == [34, 33, 33] and [got[i] for i in (300, 309)] == [10, 10]
+    assert sum(got[i] for i in range(3, 300)) == 100 and got[3] == got[102] == 1 and got[103] == 0
+
+
+def test_common_run_as_brute_force():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in "ab")
+        best = max((n, -i) for i in range(len(a) + 1) for n in range(len(a) - i + 1) if n == 0 or any(a[i : i + n] == b[j : j + n] for j in range(len(b))))
+        n, at = best[0], -best[1]
+        assert textual.longest_common_run(a, b) == (n, " ".join(a[at : at + n]))
+
+
 def test_deep_tree(spark):
     df = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "x")], "k string, p string")
     assert filters.tree_levels(df, "k", "p").count() == 40

@@ -88,10 +88,23 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows_, "k string, at timestamp, w double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = streams.file_stream(spark, str(tmp_path / "in"), df.schema)
-    fired = streams.run_to_table(streams.signal_states(stream, "k", "at", "w"), "fired", str(tmp_path / "c1"))
+    fired = streams.run_to_table(streams.signal_states(stream, "k", "at", "w"), str(tmp_path / "fired"), str(tmp_path / "c1"))
     assert [(r["key"], r["total"]) for r in fired.collect()] == [("a", 3.5)]
-    counts = streams.run_to_table(streams.sliding_counts(stream, "at", ["k"], "2 hours", "1 hour"), "counts", str(tmp_path / "c2"), "complete")
+    counts = streams.run_to_table(streams.sliding_counts(stream, "at", ["k"], "2 hours", "1 hour"), str(tmp_path / "counts"), str(tmp_path / "c2"), "complete")
     assert counts.agg(F.sum("n")).first()[0] == 8
     q = streams.drain_queue(stream.withColumnRenamed("k", "id"), str(tmp_path / "table"), "id", "at", str(tmp_path / "c3"))
     q.awaitTermination()
     assert {(r["id"], r["w"]) for r in spark.read.parquet(str(tmp_path / "table/v1")).collect()} == {("a", 1.5), ("b", 1.0)}
+
+
+def test_late_rows_in_append_mode(spark, tmp_path):
+    """Days are written once the watermark has passed them; rows later than it are dropped."""
+    day = lambda n, h=0: dt.datetime(2024, 1, n, h)
+    folder = tmp_path / "days"
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    schema = "at timestamp, k string"
+    for rows_ in ([(day(1), "a"), (day(1, 5), "a"), (day(2), "b")], [(day(10), "a")], [(day(1, 9), "a"), (day(9), "b"), (day(20), "c")]):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = streams.file_stream(spark, str(folder), spark.createDataFrame([], schema).schema)
+        got = streams.run_to_table(streams.daily_counts(stream, "at", ["k"], "2 days"), out, state)
+    assert rows(got) == [("2024-01-01", "a", 2), ("2024-01-02", "b", 1), ("2024-01-09", "b", 1), ("2024-01-10", "a", 1)]
