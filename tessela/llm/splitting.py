@@ -103,33 +103,40 @@ def spans(text: str, p: SplitParams = SplitParams()) -> list[tuple[int, int]]:
     return [*out, (start, n)]
 
 
-def split_spans(df: DataFrame, keys: list[str], text: str, p: SplitParams = SplitParams()) -> DataFrame:
-    """(*keys, piece_no, piece_start, piece_end), counted from 1 and 0: the pieces of the texts over the limit.
-
-    Null and short texts have no rows.  Whole texts are processed, and only those over the limit leave the JVM.
-    """
+def _cut(df: DataFrame, keys: list[str], text: str, p: SplitParams, whole_too: bool) -> DataFrame:
+    """(*keys, piece_no, piece_start, piece_end) and, with ``whole_too``, the piece itself, made where the text is read."""
     long = df.where(F.length(text) > p.limit).select(*keys, F.col(text).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in long.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "piece_no int, piece_start int, piece_end int"])
+    names = [*keys, "piece_no", "piece_start", "piece_end", *(["piece"] if whole_too else [])]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "piece_no int, piece_start int, piece_end int", *(["piece string"] if whole_too else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 64):
                 b = whole.slice(at, 64)
-                found = [spans(t.as_py(), p) for t in b.column(len(keys))]
+                texts = b.column(len(keys)).to_pylist()
+                found = [spans(t, p) for t in texts]
                 rows = np.repeat(np.arange(len(b)), [len(x) for x in found])
                 flat = np.array([x for f in found for x in f], dtype=np.int32).reshape(-1, 2)
                 no = np.concatenate([np.arange(1, len(f) + 1, dtype=np.int32) for f in found]) if found else np.zeros(0, np.int32)
-                take = [b.column(i).take(pa.array(rows)) for i in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*take, pa.array(no), pa.array(flat[:, 0]), pa.array(flat[:, 1])], [*keys, "piece_no", "piece_start", "piece_end"])
+                cols = [*(b.column(i).take(pa.array(rows)) for i in range(len(keys))), pa.array(no), pa.array(flat[:, 0]), pa.array(flat[:, 1])]
+                if whole_too:
+                    cols.append(pa.array([t[x:y] for t, f in zip(texts, found) for x, y in f], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return long.mapInArrow(cut, schema)
 
 
+def split_spans(df: DataFrame, keys: list[str], text: str, p: SplitParams = SplitParams()) -> DataFrame:
+    """(*keys, piece_no, piece_start, piece_end), counted from 1 and 0: the pieces of the texts over the limit.
+
+    Null and short texts have no rows.  Whole texts are processed, and only those over the limit leave the JVM.
+    """
+    return _cut(df, keys, text, p, False)
+
+
 def pieces(df: DataFrame, keys: list[str], text: str, p: SplitParams = SplitParams()) -> DataFrame:
     """The spans with the text of each piece; texts within the limit come whole as piece 1, null and empty ones not."""
-    spans_ = split_spans(df, keys, text, p)
     body = df.select(*keys, F.col(text).alias("text"))
-    cut = spans_.join(body.where(F.length("text") > p.limit).dropDuplicates(keys), keys).select(*keys, "piece_no", "piece_start", "piece_end", F.expr("substring(text, piece_start + 1, piece_end - piece_start)").alias("piece"))
     short = body.where((F.length("text") <= p.limit) & (F.col("text") != "")).select(*keys, F.lit(1).alias("piece_no"), F.lit(0).alias("piece_start"), F.length("text").alias("piece_end"), F.col("text").alias("piece"))
-    return cut.unionByName(short).dropDuplicates([*keys, "piece_no"])
+    return _cut(df, keys, text, p, True).unionByName(short).dropDuplicates([*keys, "piece_no"])
