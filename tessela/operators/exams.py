@@ -145,7 +145,10 @@ def lines_from_items(items: DataFrame, page: list[str], tolerance: float = 3.5)
 
 def lines_from_boxes(boxes: DataFrame, page: list[str], overlap: float = 0.35, centre: float = 6.0) -> DataFrame:
     """As ``lines_from_items`` for recognised words (text, x, y, height): a word joins the line of the word above in reading
-    order if their heights overlap by a share or their centres are near."""
+    order if their heights overlap by a share or their centres are near.
+
+    Where words have a width and a confidence, the line's far corner (x2, y2) and mean confidence come out too.
+    """
     mid = F.col("y") + F.col("height") / 2
     b = boxes.withColumn("_mid", mid)
     w = Window.partitionBy(*page).orderBy("_mid", "x", "text")
@@ -154,7 +157,10 @@ def lines_from_boxes(boxes: DataFrame, page: list[str], overlap: float = 0.35, c
     near = (shared >= overlap * F.least(F.col("height"), ph)) | (F.abs(F.col("_mid") - pm) <= centre)
     lined = b.withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("line_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = F.array_sort(F.collect_list(F.struct("x", "text")))
-    return lined.groupBy(*page, "line_no").agg(F.array_join(F.transform(out, lambda s: s["text"]), " ").alias("text"), F.min("x").alias("x"), F.min("y").alias("y"))
+    more = []
+    if {"width", "confidence"} <= set(boxes.columns):
+        more = [F.max(F.col("x") + F.col("width")).alias("x2"), F.max(F.col("y") + F.col("height")).alias("y2"), F.round(F.avg("confidence"), 4).alias("confidence")]
+    return lined.groupBy(*page, "line_no").agg(F.array_join(F.transform(out, lambda s: s["text"]), " ").alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), *more)
 
 
 def relettered(options: Column, correct: Column, target: Column) -> Column:
@@ -163,3 +169,19 @@ def relettered(options: Column, correct: Column, target: Column) -> Column:
     rest = F.filter(options, lambda o: o["letter"] != correct)
     placed = F.concat(F.slice(rest, F.lit(1), target), right, F.slice(rest, target + 1, F.size(rest)))
     return F.transform(placed, lambda o, i: F.struct(F.substring(F.lit("ABCDE"), i + 1, F.lit(1)).alias("letter"), o["text"].alias("text")))
+
+
+def shuffled_options(options: Column, correct: Column, target: Column, seed: Column) -> Column:
+    """As ``relettered``, with the other options in an order that the seed decides."""
+    right = F.filter(options, lambda o: o["letter"] == correct)
+    rest = F.filter(options, lambda o: o["letter"] != correct)
+    order = F.array_sort(F.transform(rest, lambda o: F.struct(F.xxhash64(seed, o["letter"]).alias("h"), o["letter"].alias("letter"), o["text"].alias("text"))))
+    mixed = F.transform(order, lambda o: F.struct(o["letter"].alias("letter"), o["text"].alias("text")))
+    placed = F.concat(F.slice(mixed, F.lit(1), target), right, F.slice(mixed, target + 1, F.size(mixed)))
+    return F.transform(placed, lambda o, i: F.struct(F.substring(F.lit("ABCDE"), i + 1, F.lit(1)).alias("letter"), o["text"].alias("text"), o["letter"].alias("was")))
+
+
+def moved_comments(placed: Column, comments: Column) -> Column:
+    """The comments of options, by their new letters; ``placed`` is of ``shuffled_options``, comments a map by old letters."""
+    kept = F.filter(placed, lambda o: F.map_contains_key(comments, o["was"]))
+    return F.map_from_arrays(F.transform(kept, lambda o: o["letter"]), F.transform(kept, lambda o: F.try_element_at(comments, o["was"])))

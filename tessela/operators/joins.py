@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessela.functions.text import fold
+
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -173,3 +175,24 @@ def first_code(codes: Column, systems: list[str]) -> Column:
 
 def _starts(system: str):
     return lambda c: F.startswith(c, F.lit(f"{system}:"))
+
+
+def confusion_candidates(asked: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """(key, member, set_id): what is easily taken for an answer: the other members of the sets that fit it.
+
+    ``asked`` has (key, answer, specialty, topics), ``sets`` (set_id, specialty, context, members).  A set fits if the
+    answer is one of its members, or if a topic and a context of it contain one another and the specialties do so too (an
+    empty one fits all).  Texts are compared folded; a member comes out once, with the least set.
+    """
+    form = lambda c: F.trim(fold(F.coalesce(c, F.lit(""))))
+    members = sets.select("set_id", F.explode("members").alias("m")).select("set_id", form(F.col("m")).alias("member")).where("member != ''").distinct()
+    a = asked.select(key, form(F.col("answer")).alias("answer"), form(F.col("specialty")).alias("specialty"), "topics")
+    by_member = a.join(members.withColumnRenamed("member", "answer"), "answer").select(key, "set_id")
+    topics = a.select(key, "specialty", F.explode("topics").alias("t")).select(key, "specialty", form(F.col("t")).alias("topic")).where("topic != ''")
+    context = sets.select("set_id", form(F.col("specialty")).alias("of"), F.explode("context").alias("c")).select("set_id", "of", form(F.col("c")).alias("ctx")).where("ctx != ''")
+    t, c = topics.select("topic").distinct(), context.select("ctx").distinct()
+    near = substring_join(c, "ctx", "ctx", t, "topic", ["topic"]).select("topic", "ctx").unionByName(substring_join(t, "topic", "topic", c, "ctx", ["ctx"]).select("topic", "ctx")).distinct()
+    fits = (F.col("specialty") == "") | (F.col("of") == "") | F.contains("specialty", F.col("of")) | F.contains("of", F.col("specialty"))
+    by_context = topics.join(near, "topic").join(context, "ctx").where(fits).select(key, "set_id")
+    met = by_member.unionByName(by_context).distinct().join(members, "set_id").join(a.select(key, "answer"), key).where("member != answer")
+    return met.groupBy(key, "member").agg(F.min("set_id").alias("set_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessela.functions.clean import STOP_WORDS, keywords
 from tessela.functions.text import fold, squeeze
-from tessela.operators.joins import small_or_shuffled
+from tessela.operators.joins import fuzzy_lookup, small_or_shuffled
 from tessela.session import spread
 
 #: Entries up to which the dictionary is sent to the executors.
@@ -226,3 +226,22 @@ def neighbours_of_trigger(matches: DataFrame, key: str) -> DataFrame:
     """Each match with the names of the matches before and after it in its text."""
     w = Window.partitionBy(key).orderBy("first", "last", "norm")
     return matches.select(key, "first", "norm", F.lag("norm").over(w).alias("previous"), F.lead("norm").over(w).alias("next"))
+
+
+def gap_recovery(texts: DataFrame, key: str, text: str, entries: DataFrame, most: int = 30) -> DataFrame:
+    """(key, first, last, norm, code, recovered): the matches of each text, and misspelt words between them.
+
+    Words of at least five letters that lie in no match and are no stop words are looked up as ``fuzzy_lookup`` does; of
+    each text the ``most`` longest, of equals the first ones, as a text with more is not misread but about something else.
+    """
+    found = resolve_overlaps(ngram_matches(texts, key, text, entries), key)
+    words = spread(texts.select(key, text)).select(key, F.posexplode(F.split(keywords(F.coalesce(F.col(text), F.lit(""))), " ")).alias("place", "w"))
+    words = words.where((F.length("w") >= 5) & F.col("w").rlike("[a-z]") & ~F.col("w").isin(*STOP_WORDS))
+    covered = found.select(key, F.explode(F.sequence("first", "last")).alias("place"))
+    gaps = words.join(covered, [key, "place"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.length("w")), "place"))
+    gaps = gaps.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+    best = fuzzy_lookup(gaps.select(F.col("w").alias("id"), "w").distinct(), entries, "id", "w", "norm").select("w", "norm")
+    codes = entries.select("norm", "code")
+    new = gaps.join(best, "w").join(codes, "norm").select(key, F.col("place").cast("int").alias("first"), F.col("place").cast("int").alias("last"), "norm", "code", F.lit(True).alias("recovered"))
+    return found.withColumn("recovered", F.lit(False)).unionByName(new)

@@ -110,3 +110,16 @@ def mastery(cards: DataFrame, group: str) -> DataFrame:
 def fired_signals(signals: DataFrame, key: str, now: Column, ts: str, weight: Column, threshold: float = 3.0, days: int = 90) -> DataFrame:
     """(key, total): sums of the weights of signals that haven't expired, where they reach the threshold."""
     return signals.where(F.col(ts) > now - F.make_dt_interval(F.lit(days))).groupBy(key).agg(F.round(F.sum(weight), 6).alias("total")).where(F.col("total") >= threshold)
+
+
+def folded_mean(values: Column) -> Column:
+    """The mean that versions keep: each new value weighs as much as each before it; null without values."""
+    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(0).alias("n"))
+    step = lambda a, x: F.struct(F.coalesce((a["mean"] * a["n"] + x) / (a["n"] + 1), x.cast("double")).alias("mean"), (a["n"] + 1).alias("n"))
+    return F.aggregate(F.filter(values, lambda x: x.isNotNull()), start, step, lambda a: a["mean"])
+
+
+def merged_cycle(cycles: Column) -> Column:
+    """The cycle that all versions have, else mixed; null without any."""
+    known = F.array_distinct(F.filter(cycles, lambda c: c.isNotNull()))
+    return F.when(F.size(known) == 1, known[0]).when(F.size(known) > 1, "mixed")

@@ -56,6 +56,11 @@ def ner_audit(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(hit, "doc_id", "left").groupBy("source").agg(F.count("*").alias("chunks"), F.round(empty, 4).alias("empty_ratio"), (((F.count("*") >= 5) & (empty > 0.8)) | (F.count_if(F.col("hit")) == 0)).alias("suspicious"))
 
 
+@catalog.add("ner_gaps")
+def ner_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return n.gap_recovery(_texts(spark, d), "doc_id", "text", _entries(spark, d)).drop("code")
+
+
 @catalog.add("relations")
 def relations(spark: SparkSession, d: str) -> DataFrame:
     return n.relations(_texts(spark, d), "doc_id", "text", _entries(spark, d))
@@ -119,3 +124,11 @@ def exam_stats(spark: SparkSession, d: str) -> DataFrame:
 def options_relettered(spark: SparkSession, d: str) -> DataFrame:
     q = _options(spark, d).where("size(options) between 2 and 5 and exists(options, o -> o.letter = correct_letter)")
     return q.select("id", x.relettered(F.col("options"), F.col("correct_letter"), F.pmod(F.crc32("id"), F.size("options")).cast("int")).alias("options"))
+
+
+@catalog.add("options_shuffled")
+def options_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """Options shuffled by the id of their question, the right one in a place of its own, and where each came from."""
+    q = _options(spark, d).where("size(options) between 2 and 5 and exists(options, o -> o.letter = correct_letter)")
+    placed = x.shuffled_options(F.col("options"), F.col("correct_letter"), F.pmod(F.crc32("id"), F.size("options")).cast("int"), F.col("id"))
+    return q.select("id", placed.alias("options"))

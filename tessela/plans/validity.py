@@ -112,6 +112,18 @@ def theme_parent(spark: SparkSession, d: str) -> DataFrame:
     return v.best_parent(c.select("category", F.col("canonical_term").alias("theme")), "theme", topics, "topic", "ref_id", "category")
 
 
+@catalog.add("confusion_candidates", r"""with s as (select category || ':' || regexp_extract(strip_accents(lower(canonical_term)), '^(\w+)', 1) set_id, strip_accents(lower(trim(canonical_term))) m from canonical_terms where category is not null),
+    a as (select id, strip_accents(lower(trim(coalesce(canonical_term, '')))) m from terms) select a.id, b.m "member", min(b.set_id) set_id from a join s on a.m = s.m join s b on b.set_id = s.set_id and b.m <> a.m group by all""")
+def confusion_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Sets are the terms of a category that begin alike; what can be taken for the term that each row means."""
+    c = table(spark, d, "canonical_terms").where("category is not null")
+    head = F.concat("category", F.lit(":"), F.regexp_extract(fold(F.col("canonical_term")), r"^(\w+)", 1))
+    none = F.array().cast("array<string>")
+    sets = c.groupBy(head.alias("set_id")).agg(F.collect_list("canonical_term").alias("members")).withColumn("specialty", F.lit("")).withColumn("context", none)
+    asked = table(spark, d, "terms").select("id", F.col("canonical_term").alias("answer"), F.lit("").alias("specialty"), none.alias("topics"))
+    return j.confusion_candidates(asked, sets, "id")
+
+
 @catalog.add("confusion_sets", """with s as (select category, regexp_extract(strip_accents(lower(canonical_term)), '^(\\w+)', 1) head, ref_id, canonical_term from canonical_terms) select a.ref_id, count(*) others from s a join s b on a.category = b.category and a.head = b.head and a.ref_id <> b.ref_id group by 1""")
 def confusion_sets(spark: SparkSession, d: str) -> DataFrame:
     """Terms that are easily taken for each other share their category and first word; counted, not paired."""

@@ -302,3 +302,39 @@ def test_greatest_similarity_in_blocks(spark):
         mine = [np.dot(v, o) / np.linalg.norm(v) / np.linalg.norm(o) for h, o in old if h == g]
         assert got[k] == pytest.approx(max(mine))
     assert got[900] == got[901] == got[902] == 0 and 903 not in got and 904 not in got
+
+
+def test_gap_recovery(spark):
+    entries = ner.dictionary(spark.createDataFrame([("Pneumonia",), ("febre alta",), ("asma",)], "t string"), "t")
+    texts = spark.createDataFrame([(1, "Pneumomia com febre alta e qualquer coisa"), (2, "pneumonia"), (3, None)], "id int, t string")
+    got = {(r["id"], r["first"], r["last"], r["norm"], r["recovered"]) for r in ner.gap_recovery(texts, "id", "t", entries).collect()}
+    assert got == {(1, 0, 0, "pneumonia", True), (1, 2, 3, "febre alta", False), (2, 0, 0, "pneumonia", False)}
+
+
+def test_confusion_candidates(spark):
+    sets = spark.createDataFrame([("s1", "Cardiologia", ["arritmia"], ["Fibrilação", "Flutter"]), ("s2", "", ["tosse seca"], ["Asma", "Bronquite", None]), ("s3", "Pediatria", ["arritmia"], ["Outro"])], "set_id string, specialty string, context array<string>, members array<string>")
+    asked = spark.createDataFrame([(1, "FIBRILACAO", None, None), (2, "x", "Cardiologia Clínica", ["Arritmias"]), (3, None, "", ["tosse"]), (4, "nada", "", ["nada"])], "id int, answer string, specialty string, topics array<string>")
+    got = {(r["id"], r["member"], r["set_id"]) for r in joins.confusion_candidates(asked, sets, "id").collect()}
+    assert got == {(1, "flutter", "s1"), (2, "fibrilacao", "s1"), (2, "flutter", "s1"), (3, "asma", "s2"), (3, "bronquite", "s2")}
+
+
+def test_shuffled_options(spark):
+    df = spark.createDataFrame([(i, [("A", "um"), ("B", "dois"), ("C", "três"), ("D", "quatro")], {"A": "a", "C": "c"}) for i in range(40)], "i int, o array<struct<letter:string,text:string>>, c map<string,string>")
+    placed = df.withColumn("p", exams.shuffled_options(F.col("o"), F.lit("C"), F.lit(1), F.col("i"))).withColumn("m", exams.moved_comments(F.col("p"), F.col("c")))
+    seen = set()
+    for r in placed.collect():
+        assert [x["letter"] for x in r["p"]] == list("ABCD") and r["p"][1]["text"] == "três" and {(x["was"], x["text"]) for x in r["p"]} == {tuple(x) for x in r["o"]}
+        assert r["m"] == {x["letter"]: r["c"][x["was"]] for x in r["p"] if x["was"] in r["c"]}
+        seen.add(tuple(x["was"] for x in r["p"]))
+    assert len(seen) == 6
+
+
+def test_boxes_with_corners(spark):
+    boxes = spark.createDataFrame([(1, "um", 10.0, 100.0, 20.0, 10.0, 0.9), (1, "dois", 40.0, 101.0, 30.0, 10.0, 0.7), (1, "abaixo", 10.0, 140.0, 50.0, 12.0, 1.0)], "page int, text string, x double, y double, width double, height double, confidence double")
+    got = [(r["text"], r["x2"], r["y2"], r["confidence"]) for r in exams.lines_from_boxes(boxes, ["page"]).orderBy("line_no").collect()]
+    assert got == [("um dois", 70.0, 111.0, 0.8), ("abaixo", 60.0, 152.0, 1.0)]
+
+
+def test_versions(spark):
+    r = one(spark, a=review.folded_mean(F.array(F.lit(1.0), F.lit(None), F.lit(2.0), F.lit(6.0))), b=review.folded_mean(F.array().cast("array<double>")), c=review.merged_cycle(F.array(F.lit("basic"), F.lit(None), F.lit("basic"))), d=review.merged_cycle(F.array(F.lit("basic"), F.lit("clinical"))))
+    assert (r["a"], r["b"], r["c"], r["d"]) == (3.0, None, "basic", "mixed")
