@@ -106,7 +106,13 @@ def exam_answer_key(spark: SparkSession, d: str) -> DataFrame:
     return x.answer_key(_exams(spark, d), "source_asset_id", "text")
 
 
-@catalog.add("exam_grade")
+@catalog.add("exam_grade", """with q as (select distinct id, statement s, case when json_valid(options_json) then options_json end j from extracted_questions),
+    o as (select id, s, list_transform(json_extract(j, '$[*]'), lambda e: json_extract_string(e, '$.text')) t, list_transform(json_extract(j, '$[*]'), lambda e: json_extract_string(e, '$.letter')) l from q),
+    n as (select id, coalesce(s, '') s, coalesce(len(t), 0) n, list_transform(t, lambda x: trim(x)) t, list_distinct(l) d, list_contains(list_transform(l, lambda x: x is null), true) nl from o),
+    m as (select *, list_sort(list_transform(list_filter(t, lambda x: x is not null), lambda x: length(x))) z from n), g as (select *, z[n // 2 + 1] median, list_max(z) longest from m)
+    select id, case when length(trim(s)) < 15 or n = 0 then 'low'
+    when n = 2 and (list_has_any(list_transform(t, lambda x: upper(x)), ['CERTO', 'ERRADO', 'VERDADEIRO', 'FALSO', 'V', 'F', 'SIM', 'NÃO']) or regexp_matches(lower(s), 'julgue\\s+os\\s+itens|certo\\s+ou\\s+errado|verdadeiro\\s+ou\\s+falso')) then 'high'
+    when n <= 2 or n > 5 or len(d) + nl::int <> n or list_contains(t, '') then 'low' when longest > 2.5 * greatest(median, 25) then 'low' when n = 3 then 'medium' when longest > 2.0 * greatest(median, 30) then 'medium' else 'high' end grade from g""")
 def exam_grade(spark: SparkSession, d: str) -> DataFrame:
     return _options(spark, d).select("id", x.grade(F.col("statement"), F.col("options")).alias("grade"))
 
