@@ -205,11 +205,11 @@ def term_merge(spark: SparkSession, d: str) -> DataFrame:
     return j.merge_terms(e, n.unionByName(new), "k", ["code", "category"])
 
 
-@catalog.add("fuzzy_lookup", """with w as (select distinct id, unnest(string_split(coalesce(normalized_term, ''), ' ')) word from terms), t as (select distinct unnest(string_split(strip_accents(lower(canonical_term)), ' ')) term from canonical_terms),
+@catalog.add("fuzzy_lookup", """with w as (select distinct id, unnest(string_split(strip_accents(lower(coalesce(normalized_term, ''))), ' ')) word from terms), t as (select distinct unnest(string_split(strip_accents(lower(canonical_term)), ' ')) term from canonical_terms),
     p as (select id, word, term, levenshtein(word, term)::int distance from w join t on length(word) >= 5 and length(term) >= 4 and case when length(word) <= 5 then left(word, 3) else left(word, 4) end in (left(term, 3), left(term, 4)) and abs(length(word) - length(term)) <= 1)
     select id, word, min((distance, abs(length(word) - length(term)), term))[3] term, min(distance) distance from p where distance <= case when length(word) < 7 then 1 else 2 end group by all""")
 def fuzzy_lookup(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "terms").select("id", F.explode(F.split(F.coalesce("normalized_term", F.lit("")), " ")).alias("word")).distinct()
+    words = table(spark, d, "terms").select("id", F.explode(F.split(fold(F.coalesce("normalized_term", F.lit(""))), " ")).alias("word")).distinct()
     names = table(spark, d, "canonical_terms").select(F.explode(F.split(fold(F.col("canonical_term")), " ")).alias("term"))
     return j.fuzzy_lookup(words, names, "id", "word", "term")
 
