@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_START = re.compile(r"^\s*(?:QUEST[ÃA]O|Quest[ãa]o)\s*(?:N[ºo°.]*\s*)?(\d{1,3})\b[\s.:)\-–]*(.*)$|^\s*(\d{1,3})\s*[.)\-–]\s+(\S.*)$")
+_START = re.compile(r"^\s*(?:QUEST[ÃA]O|Quest[ãa]o)\s*(?:N[ºo°.]*\s*)?(\d{1,3}|[Oo]\d{1,2}|l[áa4\d]|I\d)(?![\wÀ-ÿ])[\s.:)\-–]*(.*)$|^\s*(\d{1,3})\s*[.)\-–]\s+(\S.*)$")
 _OPTION = re.compile(r"^\s*[(\[]?([A-Ea-e])\s*[)\].\-–]\s*(\S.*)?$")
+# What follows a capital letter and a dot in the names of germs, which are no options.
+GERMS = ("coli", "aeruginosa", "faecalis", "pneumoniae", "aureus", "sp", "spp", "difficile", "albicans", "histolytica", "cruzi", "mansoni")
+_GERM = re.compile(r"^\s*[A-E]\.\s+(?:" + "|".join(GERMS) + r")\b", re.I)
+_VERDICT = re.compile(r"^\s*(?:(CERTO|VERDADEIRO)|(ERRADO|FALSO))\b", re.I)
 _CIRCLE = re.compile(r"^\s*\(\s*[Oo0 ]?\s*\)\s*(\S.*)$")
 _KEY_HEAD = re.compile(r"^\s*(?:GABARITO|RESPOSTAS)\b", re.I)
 _KEY_ITEM = re.compile(r"(?:QUEST[ÃA]O\s*)?(\d{1,3})\s*[:\-–=.]*\s*([A-Ea-e])\b")
@@ -18,6 +22,27 @@ _KEY_ITEM = re.compile(r"(?:QUEST[ÃA]O\s*)?(\d{1,3})\s*[:\-–=.]*\s*([A-Ea-e])
 QUESTION = "number int, statement string, options array<struct<letter:string,text:string>>, correct_letter string"
 
 
+def question_number(raw: str, expected: int = 1) -> int | None:
+    """The number of a question, from 1 to 300, as recognition may have left it.
+
+    A lone digit that is part of a greater expected number stands for it; O before a number is noise, l and I are ones, a
+    an a four, o a zero; what can't be read at all is the number expected.
+    """
+    raw = raw.strip()
+    if expected == 11 and re.fullmatch(r"1|[lIN]", raw, re.I) or expected == 14 and re.fullmatch(r"[lIN]á4?", raw, re.I):
+        return expected
+    whole = re.match(r"\d+", raw)
+    if whole and 0 < int(whole.group()) <= 300:
+        n = int(whole.group())
+        return expected if expected >= 10 and n < expected - 3 and n in (expected % 10, expected // 10) else n
+    if re.fullmatch(r"[Oo]\d{1,2}", raw):
+        return int(raw[1:])
+    guess = re.match(r"\d+", re.sub("[oO]", "0", re.sub("[áa]", "4", re.sub("^[lI]", "1", raw), count=1), count=1))
+    if guess and 0 < int(guess.group()) <= 300:
+        return int(guess.group())
+    return expected if 0 < expected <= 300 else None
+
+
 def split_exam(text: str | None) -> list[tuple[int, str, list[tuple[str, str]], str | None]]:
     """(number, statement, options, key letter) of an exam's questions, in order.
 
@@ -38,7 +63,7 @@ def split_exam(text: str | None) -> list[tuple[int, str, list[tuple[str, str]],
                     keys.setdefault(int(n), letter.upper())
             continue
         m = _START.match(line)
-        n = int(m.group(1) or m.group(3)) if m else None
+        n = question_number(m.group(1) or m.group(3), expected or 1) if m else None
         named = bool(m and m.group(1))
         if m and (named or expected is None or n == expected) and 0 < n <= 300:
             found.append((n, [m.group(2) or m.group(4) or ""], []))
@@ -47,9 +72,11 @@ def split_exam(text: str | None) -> list[tuple[int, str, list[tuple[str, str]],
         if not found or not line.strip():
             continue
         _, statement, options = found[-1]
-        o, c = _OPTION.match(line), _CIRCLE.match(line)
+        o, c, v = None if _GERM.match(line) else _OPTION.match(line), _CIRCLE.match(line), _VERDICT.match(line)
         if o and len(options) < 5 and o.group(1).upper() == "ABCDE"[len(options)]:
             options.append([o.group(1).upper(), o.group(2) or ""])
+        elif v and len(options) == (0 if v.group(1) else 1):
+            options.append(["A" if v.group(1) else "B", line.strip()])
         elif c and len(options) < 5:
             options.append(["ABCDE"[len(options)], c.group(1)])
         elif options:
@@ -135,6 +162,29 @@ def stats(questions: DataFrame, group: str, statement: str, letter: str) -> Data
     )
 
 
+def in_columns(items: DataFrame, page: list[str], tolerance: float = 3.5) -> DataFrame:
+    """Items (text, x, y, width) with ``column``: 0, or 1 for the right half of a page that is set in two columns.
+
+    Such a page has at least 30 items over a width of 300, 20 in each half, neither with less than 0.35 of the other's, few
+    in the middle, and hardly any line across it.  All is counted by page; no page is gathered in Python.
+    """
+    full = items.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    size = full.groupBy(*page).agg(F.count("*").alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi")).withColumn("_mid", (F.col("_lo") + F.col("_hi")) / 2)
+    w = Window.partitionBy(*page).orderBy("y", "x", "text")
+    new = F.when(F.col("y") - F.lag("y").over(w) <= tolerance, 0).otherwise(1)
+    on = full.join(size, page)
+    counts = on.groupBy(*page).agg(F.count_if(F.col("x") < F.col("_mid") - 30).alias("_l"), F.count_if(F.col("x") > F.col("_mid") + 30).alias("_r"), F.count_if(F.abs(F.col("x") - F.col("_mid")) <= 30).alias("_c"))
+    lines = on.withColumn("_line", new).withColumn("_line", F.sum("_line").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    wide = lines.groupBy(*page, "_line").agg((F.min(F.col("x") - F.col("_mid")) < -40).alias("a"), (F.max(F.col("x") + F.coalesce("width", F.lit(0)) - F.col("_mid")) > 40).alias("b"))
+    across = wide.groupBy(*page).agg(F.count_if(F.col("a") & F.col("b")).alias("_across"), F.count("*").alias("_lines"))
+    two = (
+        (F.col("_n") >= 30) & (F.col("_hi") - F.col("_lo") >= 300) & (F.least("_l", "_r") >= 20) & (F.least("_l", "_r") >= 0.35 * F.greatest("_l", "_r"))
+        & (F.col("_c") <= 0.2 * (F.col("_l") + F.col("_r"))) & (F.col("_across") < 3) & (F.col("_across") <= 0.15 * F.col("_lines"))
+    )
+    pages = size.join(counts, page).join(across, page).where(two).select(*page, "_mid")
+    return full.join(pages, page, "left").withColumn("column", F.when(F.col("x") >= F.col("_mid"), 1).otherwise(0)).drop("_mid")
+
+
 def lines_from_items(items: DataFrame, page: list[str], tolerance: float = 3.5) -> DataFrame:
     """(*page, line_no, text): items (text, x, y) whose heights differ by no more than the tolerance from their neighbour's form a line, left to right."""
     w = Window.partitionBy(*page).orderBy("y", "x", "text")
@@ -143,6 +193,20 @@ def lines_from_items(items: DataFrame, page: list[str], tolerance: float = 3.5)
     return lined.groupBy(*page, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ").alias("text"))
 
 
+def split_pages(items: DataFrame, doc: str, page: str, boxes: bool = False) -> DataFrame:
+    """(doc, number, statement, options, correct_letter): the questions of exams given as items with their places.
+
+    With ``boxes`` items are recognised words with a height, else those of a text layer; pages in two columns are read
+    column by column.  The lines of an exam are joined in the order of reading and split as text.
+    """
+    keys = [doc, page, "column"]
+    placed = in_columns(items, [doc, page])
+    lines = lines_from_boxes(placed, keys) if boxes else lines_from_items(placed, keys)
+    ordered = F.array_sort(F.collect_list(F.struct(page, "column", "line_no", "text")))
+    texts = lines.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "\n").alias("text"))
+    return split_exams(texts, [doc], "text")
+
+
 def lines_from_boxes(boxes: DataFrame, page: list[str], overlap: float = 0.35, centre: float = 6.0) -> DataFrame:
     """As ``lines_from_items`` for recognised words (text, x, y, height): a word joins the line of the word above in reading
     order if their heights overlap by a share or their centres are near.

@@ -338,3 +338,33 @@ def test_boxes_with_corners(spark):
 def test_versions(spark):
     r = one(spark, a=review.folded_mean(F.array(F.lit(1.0), F.lit(None), F.lit(2.0), F.lit(6.0))), b=review.folded_mean(F.array().cast("array<double>")), c=review.merged_cycle(F.array(F.lit("basic"), F.lit(None), F.lit("basic"))), d=review.merged_cycle(F.array(F.lit("basic"), F.lit("clinical"))))
     assert (r["a"], r["b"], r["c"], r["d"]) == (3.0, None, "basic", "mixed")
+
+
+def test_question_numbers():
+    n = exams.question_number
+    assert [n("5"), n("O5"), n("1", 11), n("lá", 14), n("l2"), n("I3"), n("la"), n("2", 22), n("9", 12), n("??", 7), n("400", 0), n("12", 12)] == [5, 5, 11, 14, 12, 13, 14, 22, 9, 7, None, 12]
+    text = "QUESTÃO O1 Qual o agente?\nE. coli é comum aqui\nA) E. coli\nB) S. aureus\nQUESTÃO 2 Julgue\nCERTO\nERRADO"
+    (a, s, o, _), (b, _, v, _) = exams.split_exam(text)
+    assert (a, b) == (1, 2) and s.endswith("aqui") and [x for _, x in o] == ["E. coli", "S. aureus"] and [x for x, _ in v] == ["A", "B"]
+
+
+def _page(doc, questions, columns):
+    """Items of a made page: questions one below the other, in one or two columns."""
+    out, half = [], (len(questions) + 1) // 2
+    for i, (n, s, options) in enumerate(questions):
+        right = columns == 2 and i >= half
+        x, y = (330.0 if right else 20.0), 40.0 + 80 * (i - half if right else i) + (7.0 if right else 0.0)
+        for k, line in enumerate([f"{n}. {s}", *(f"{'ABCDE'[j]}) {t}" for j, t in enumerate(options))]):
+            words = line.split()
+            out += [(doc, 1, w, x + (230.0 if columns == 2 else 520.0) * j / max(1, len(words)), y + 14 * k + 0.5 * (j % 2), 20.0, 10.0) for j, w in enumerate(words)]
+    return out
+
+
+@pytest.mark.parametrize("columns", [1, 2])
+def test_exam_from_layout(spark, columns):
+    """An exact round trip over pages in one and in two columns."""
+    questions = [(n, f"enunciado da questao numero {n} com algumas palavras", [f"texto {n}{c}" for c in "abcd"]) for n in range(1, 9)]
+    items = spark.createDataFrame(_page("d", questions, columns), "doc string, page int, text string, x double, y double, width double, height double")
+    assert exams.in_columns(items, ["doc", "page"]).agg(F.max("column")).first()[0] == columns - 1
+    got = [(r["number"], r["statement"], [o["text"] for o in r["options"]]) for r in exams.split_pages(items, "doc", "page").orderBy("number").collect()]
+    assert got == questions
