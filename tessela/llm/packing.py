@@ -206,12 +206,23 @@ def pack(sizes: DataFrame, key: str, containers: list[tuple[str, int]], bucket_r
     return full.unionByName(placed)
 
 
-def fill_report(packed: DataFrame, containers: list[tuple[str, int]]) -> DataFrame:
-    """Containers used, tokens in them, the least number that could hold them, and the share that is filled."""
-    kinds = packed.sparkSession.createDataFrame([(c, int(n)) for c, n in containers if c is not None and n is not None], "container string, capacity bigint")
+def fixed_by_dominance(sizes: DataFrame, containers: list[tuple[str, int]]) -> dict[str, int]:
+    """How many containers of each kind the dominance reduction fixes, before best fit takes the rest."""
+    out = {}
+    for c, n in containers:
+        if c is not None and n is not None and n > 0:
+            rest = sizes.where("n_tokens > 0").select(F.expr(f"int(n_tokens % {int(n)})").alias("size")).where("size > 0")
+            out[c] = plan({r["size"]: r["count"] for r in rest.groupBy("size").count().collect()}, int(n)).fixed  # at most n rows
+    return out
+
+
+def fill_report(packed: DataFrame, containers: list[tuple[str, int]], fixed: dict[str, int] | None = None) -> DataFrame:
+    """Containers used, tokens in them, the least number that could hold them, the share that is filled, and how many of
+    them were fixed as dominating all others (null if not given)."""
+    kinds = packed.sparkSession.createDataFrame([(c, int(n), (fixed or {}).get(c)) for c, n in containers if c is not None and n is not None], "container string, capacity bigint, fixed bigint")
     bins = packed.groupBy("container", "bin_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
     out = bins.groupBy("container").agg(F.count("*").alias("bins"), F.sum("n").alias("tokens"), F.sum("items").alias("items"), F.max("n").alias("fullest"))
-    return out.join(F.broadcast(kinds), "container").select("container", "capacity", "bins", "items", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 5).alias("filled"))
+    return out.join(F.broadcast(kinds), "container").select("container", "capacity", "bins", "items", "tokens", "fullest", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 5).alias("filled"), "fixed")
 
 
 def checked_sizes(sizes: DataFrame) -> DataFrame:

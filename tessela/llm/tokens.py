@@ -27,8 +27,12 @@ def encoding(path: str = RANKS):
     return _loaded[path]
 
 
-def token_sizes(df: DataFrame, text: str, path: str = RANKS) -> DataFrame:
-    """The columns but ``text``, and n_tokens; null and empty texts have 0."""
+def token_sizes(df: DataFrame, text: str, path: str | None = None) -> DataFrame:
+    """The columns but ``text``, and n_tokens; null and empty texts have 0.
+
+    ``path`` is the rank file, by default the one that the session names in ``spark.tessela.ranks``, else ``RANKS``.
+    """
+    path = path or df.sparkSession.conf.get("spark.tessela.ranks", RANKS)
     rest = [c for c in df.columns if c != text]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "n_tokens bigint"])
