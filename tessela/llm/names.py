@@ -188,7 +188,8 @@ def similar_names(classes: DataFrame, threshold: float = 0.8, most: int = MOST,
     pairs = met.unionByName(met2).distinct()
     left = classes.select("field", F.col("rep").alias("a"), F.col("ws").alias("wa"))
     right = classes.select("field", F.col("rep").alias("b"), F.col("ws").alias("wb"))
-    return pairs.join(left, ["field", "a"]).join(right, ["field", "b"]).withColumn("likeness", _name_likeness("wa", "wb")).where(F.col("likeness") >= threshold).select("field", "a", "b", "likeness")
+    compared = pairs.join(left, ["field", "a"]).join(right, ["field", "b"]).repartition(classes.sparkSession.sparkContext.defaultParallelism)  # few bytes, but dear to compare
+    return compared.withColumn("likeness", _name_likeness("wa", "wb")).where(F.col("likeness") >= threshold).select("field", "a", "b", "likeness")
 
 
 def _may_be_alike(w: Column, v: Column) -> Column:
