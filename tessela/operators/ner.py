@@ -10,6 +10,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from tessela.functions.clean import STOP_WORDS, keywords
 from tessela.functions.text import fold, squeeze
 from tessela.operators.joins import fuzzy_lookup, small_or_shuffled
-from tessela.session import spread
+from tessela.session import cut_lineage, spread
 
 #: Entries up to which the dictionary is sent to the executors.
 MOST_ENTRIES = 500_000
@@ -35,37 +36,55 @@ def ngram_matches(texts: DataFrame, key: str, text: str, entries: DataFrame) ->
 
     Word groups of the lengths that the entries have are joined with them, however long these are.
     """
+    entries = cut_lineage(entries.select("norm", "code"))
     lengths = sorted(r["n"] for r in entries.select(F.size(F.split("norm", " ")).alias("n")).distinct().collect())  # no more than the longest entry has words
     toks = spread(texts.select(key, text)).select(F.col(key), F.split(keywords(F.coalesce(F.col(text), F.lit(""))), " ").alias("w"))
-    sizes = f"array({', '.join(map(str, lengths or [1]))})"
-    grams = toks.select(key, F.posexplode(F.expr(f"transform(w, (x, i) -> transform(filter({sizes}, n -> n <= size(w) - i), n -> struct(int(i) as first, int(i + n - 1) as last, array_join(slice(w, i + 1, n), ' ') as norm)))")).alias("p", "gs"))
+    if lengths == list(range(1, len(lengths) + 1)):
+        sizes = f"sequence(1, least({len(lengths)}, size(w) - i))"
+    else:
+        sizes = f"filter(array({', '.join(map(str, lengths or [1]))}), n -> n <= size(w) - i)"
+    grams = toks.select(key, F.posexplode(F.expr(f"transform(w, (x, i) -> transform({sizes}, n -> struct(int(i) as first, int(i + n - 1) as last, array_join(slice(w, i + 1, n), ' ') as norm)))")).alias("p", "gs"))
     flat = grams.select(key, F.explode("gs").alias("g")).select(key, "g.*").where("norm != ''")
-    return flat.join(small_or_shuffled(entries.select("norm", "code")), "norm").select(key, "first", "last", "norm", "code")
+    return flat.join(small_or_shuffled(entries), "norm").select(key, "first", "last", "norm", "code")
 
 
-def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
-    """Of matches that overlap the longest stay, of equals the leftmost: taken greedily over each text's sorted matches.
+def _sorted_matches() -> Column:
+    """The matches of a group, the longest first, of equals the leftmost."""
+    return F.array_sort(F.collect_list(F.struct((F.col("first") - F.col("last")).alias("short"), "first", "last", "norm", "code")))
+
+
+def _greedy(lists: pa.ListArray) -> tuple[list[int], list[int], pa.StructArray]:
+    """(rows, places, matches): of sorted matches those that overlap none before, by row and by place in the flat array.
 
-    The places taken are marked, so a text takes time in proportion to its words.
+    The word places taken are marked, so a text takes time in proportion to its words.
     """
-    seq = F.array_sort(F.collect_list(F.struct((F.col("first") - F.col("last")).alias("short"), "first", "last", "norm", "code")))
+    flat = lists.flatten()
+    first, last = flat.field("first").to_pylist(), flat.field("last").to_pylist()
+    ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+    rows, kept, begin = [], [], 0
+    for i, end in enumerate(ends):
+        taken = bytearray(max(last[begin:end], default=-1) + 1)
+        for m in range(begin, end):
+            f, e = first[m], last[m] + 1
+            if taken.find(1, f, e) < 0:
+                taken[f:e] = b"\x01" * (e - f)
+                rows.append(i)
+                kept.append(m)
+        begin = end
+    return rows, kept, flat
+
+
+def resolve_overlaps(matches: DataFrame, key: str) -> DataFrame:
+    """Of matches that overlap the longest stay, of equals the leftmost: taken greedily over each text's sorted matches."""
     kind = dict(matches.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, kept = [], []
-            for i, ms in enumerate(b.column(1).to_pylist()):
-                taken = bytearray(max(m["last"] for m in ms) + 1)
-                for m in ms:
-                    first, end = m["first"], m["last"] + 1
-                    if not any(taken[first:end]):
-                        taken[first:end] = b"\x01" * (end - first)
-                        rows.append(i)
-                        kept.append(m)
-            cols = [pa.array([m[c] for m in kept], t) for c, t in (("first", pa.int32()), ("last", pa.int32()), ("norm", pa.string()), ("code", pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *cols], [key, "first", "last", "norm", "code"])
+            rows, kept, flat = _greedy(b.column(1))
+            take = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(flat.field(c).take(take) for c in ("first", "last", "norm", "code"))], [key, "first", "last", "norm", "code"])
 
-    return matches.groupBy(key).agg(seq.alias("ms")).mapInArrow(run, f"`{key}` {kind}, first int, last int, norm string, code string")
+    return matches.groupBy(key).agg(_sorted_matches().alias("ms")).mapInArrow(run, f"`{key}` {kind}, first int, last int, norm string, code string")
 
 
 _automata: dict[str, object] = {}
@@ -166,7 +185,15 @@ PREDICATES = {
     "COMPOSICAO": "compoe", "REGULACAO": "regula", "CLASSIFICACAO": "classifica_como", "COMPLICACAO": "complica", "EPIDEMIOLOGIA": "associado_a", "PROGNOSTICO": "associado_a",
 }
 
-_TRIGGERS = [(name, re.compile(pattern, re.ASCII)) for name, pattern in TRIGGERS]
+
+
+def _stems(pattern: str) -> tuple[str, ...]:
+    """Letters with which each alternative of a pattern begins; a sentence without any of them can't match."""
+    found = [re.match(r"(?:\\b)?([^\W\d_ -]+)([?*]?)", part) for part in pattern.split(r"\b|\b")]
+    return tuple("" if m is None else m.group(1)[: -1 if m.group(2) else None] for m in found)
+
+
+_TRIGGERS = [(name, re.compile(pattern, re.ASCII), _stems(pattern)) for name, pattern in TRIGGERS]
 _NEGATED = re.compile(r"\b(?:" + "|".join(NEGATIONS) + r")\b", re.ASCII)
 _ALNUM = re.compile("[a-z0-9]+")
 
@@ -183,7 +210,7 @@ def relations_in(sentence: str, spans: list[tuple[int, int, str]]) -> list[tuple
     itself and the next trigger, except an entity with itself.  A negation within the five words before the trigger that
     stand behind the subject marks the relation.
     """
-    hits = sorted(((m.start(), m.end(), name) for name, pattern in _TRIGGERS for m in pattern.finditer(sentence)), key=lambda h: h[:2])
+    hits = sorted(((m.start(), m.end(), name) for name, pattern, stems in _TRIGGERS if any(x in sentence for x in stems) for m in pattern.finditer(sentence)), key=lambda h: h[:2])
     if not hits:
         return []
     words = [m.span() for m in _ALNUM.finditer(sentence)]
@@ -204,18 +231,24 @@ def relations_in(sentence: str, spans: list[tuple[int, int, str]]) -> list[tuple
 def relations(texts: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
     """(key, sentence_no, subject, relation, object, trigger), each once a sentence; a sentence ends at . ! or ?"""
     sentences = texts.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])")).alias("sentence_no", "s"))
-    sentences = sentences.withColumn("s", squeeze(fold(F.col("s")))).where(F.col("s").rlike("|".join(f"(?:{p})" for _, p in TRIGGERS).replace(r"\b", "")))
+    sentences = sentences.withColumn("s", squeeze(fold(F.col("s")))).where("s != ''")
     sentences = sentences.withColumn("sid", F.concat_ws("\x01", F.col(key).cast("string"), "sentence_no"))
-    found = resolve_overlaps(ngram_matches(sentences, "sid", "s", entries), "sid")
-    grouped = found.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("first", "last", "norm"))).alias("spans")).where("size(spans) > 1")
-    ready = sentences.join(grouped, "sid").select(key, "sentence_no", "s", "spans")
+    grouped = ngram_matches(sentences, "sid", "s", entries).groupBy("sid").agg(_sorted_matches().alias("ms")).where("size(ms) > 1")
+    ready = sentences.join(grouped, "sid").select(key, "sentence_no", "s", "ms")
     kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, kept, flat = _greedy(b.column(3))
+            names, first, last = (flat.field(c).to_pylist() for c in ("norm", "first", "last"))
+            spans: dict[int, list[tuple[int, int, str]]] = {}
+            for i, m in zip(rows, kept):
+                spans.setdefault(i, []).append((first[m], last[m], names[m]))
+            keys, numbers, said = (b.column(i).to_pylist() for i in range(3))
             out = []
-            for k, n, s, spans in zip(*(b.column(i).to_pylist() for i in range(4))):
-                out += [(k, n, *r) for r in dict.fromkeys(relations_in(s, [(x["first"], x["last"], x["norm"]) for x in spans]))]
+            for i, s in spans.items():
+                if len(s) > 1:
+                    out += [(keys[i], numbers[i], *r) for r in dict.fromkeys(relations_in(said[i], sorted(s)))]
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.string()) for c in cols[2:])], [key, "sentence_no", "subject", "relation", "object", "trigger"])
 

@@ -178,6 +178,13 @@ def test_ner_forms_agree(spark):
     assert [(r["first"], r["last"]) for r in kept] == [(2, 5)]
 
 
+def test_stems_hide_no_trigger():
+    """The stems that a sentence is first searched for are in every match of their pattern."""
+    said = "pode causar e podem levar a x; o tratamento consiste em y; fatores de risco para z; manifesta-se com; age sobre; reduz o risco de; e classificada como; tipos de dor e sua classificacao; prevalencia em; evolui para; complicacao de; prognostico bom; faz parte de; compoe a; mais comum em; de escolha para; contraindicado em"
+    hits = [(name, m.group()) for name, pattern, stems in ner._TRIGGERS for m in pattern.finditer(said) if any(x in m.group() for x in stems)]
+    assert hits == [(name, m.group()) for name, pattern, _ in ner._TRIGGERS for m in pattern.finditer(said)] and len({n for n, _ in hits}) > 10
+
+
 def _spans(sentence, *names):
     words = sentence.replace(",", " ").replace(".", " ").split()
     out = []
