@@ -9,9 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessela.functions.text import fold
+from tessela.session import cut_lineage
 
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of text up to which sought texts are broadcast.
+BROADCAST_BYTES = 32_000_000
+#: Hashes that are broadcast, at most, to spare rows without a partner a shuffle.
+KEYS = 1_000_000
 
 
 def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -131,16 +136,29 @@ def substring_join(left: DataFrame, lk: str, part: str, right: DataFrame, rk: st
 
     Each sought text is known by the rarest of its pieces of ``gram`` characters, or by itself if it is shorter; texts are
     cut into pieces of these lengths, so that candidates meet in an equality join and are verified.  Blank ones are in none.
+    The sought texts are broadcast up to ``BROADCAST_ROWS`` of them and ``BROADCAST_BYTES``, so that no piece of a text is
+    shuffled; beyond that only pieces that some sought text is known by are, as long as these are at most ``KEYS``.
     """
     l = left.select(F.col(lk).alias("_l"), F.lower(F.trim(F.col(part))).alias("_p")).where("_p != ''").distinct()
     pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))
     grams = l.withColumn("n", F.least(F.length("_p"), F.lit(gram))).withColumn("g", F.explode(F.array_distinct(pieces(F.col("_p"), F.col("n")))))
-    counts = grams.groupBy("g").agg(F.count("*").alias("c"))
-    keyed = grams.join(counts, "g").groupBy("_l", "_p").agg(F.min(F.struct("c", "g")).alias("m")).select("_l", "_p", F.col("m.g").alias("g"))
-    long = right.select(F.col(rk).alias("_r"), F.explode(F.array(*[F.lower(F.col(t)) for t in texts])).alias("_t")).where("_t is not null").distinct()
-    lengths = [r["n"] for r in keyed.select(F.length("g").alias("n")).distinct().collect()]  # at most ``gram`` of them
+    # Sizes are estimated from the files, without what is exploded: unless told otherwise, Spark broadcasts all the pieces.
+    counts = grams.groupBy("g").agg(F.count("*").alias("c")).hint("merge")
+    keyed = cut_lineage(grams.join(counts, "g").groupBy("_l", "_p").agg(F.min(F.struct("c", "g")).alias("m")).select("_l", "_p", F.col("m.g").alias("g")))
+    octets = F.octet_length("_p") + F.coalesce(F.octet_length(F.col("_l").cast("string")), F.lit(0))
+    size = keyed.agg(F.count("*").alias("rows"), F.sum(octets.cast("long")).alias("bytes"), F.collect_set(F.length("g")).alias("lengths")).first()  # at most ``gram`` lengths
+    lengths = sorted(size["lengths"])
+    lowered = F.array(*[F.lower(F.col(t)) for t in texts])
+    long = right.select(F.col(rk).alias("_r"), F.explode(F.array_distinct(lowered)).alias("_t")).where("_t is not null")
     cut = F.array_distinct(F.flatten(F.array(*[pieces(F.col("_t"), F.lit(n)) for n in lengths]))) if lengths else F.array().cast("array<string>")
-    met = long.select("_r", "_t", F.explode(cut).alias("g")).join(keyed, "g")
+    met = long.select("_r", "_t", F.explode(cut).alias("g"))
+    if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        met = met.join(F.broadcast(keyed), "g")
+    else:
+        keys = keyed.select(F.xxhash64("g").alias("_h")).distinct()
+        if keys.limit(KEYS + 1).count() <= KEYS:
+            met = met.withColumn("_h", F.xxhash64("g")).join(F.broadcast(keys), "_h", "left_semi").drop("_h")
+        met = met.join(keyed.hint("merge"), "g")
     return met.where(F.contains("_t", F.col("_p"))).select(F.col("_l").alias(lk), F.col("_r").alias(rk)).distinct()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -375,3 +376,23 @@ def test_exam_from_layout(spark, columns):
     assert exams.in_columns(items, ["doc", "page"]).agg(F.max("column")).first()[0] == columns - 1
     got = [(r["number"], r["statement"], [o["text"] for o in r["options"]]) for r in exams.split_pages(items, "doc", "page").orderBy("number").collect()]
     assert got == questions
+
+
+def test_sought_texts_of_any_number(spark, monkeypatch):
+    """Broadcast only within the bounds, whatever the files' sizes; the same pairs on each way."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé", k=rng.randrange(2, 7))) for _ in range(40)]
+    names = [(f" {' '.join(rng.choices(words, k=rng.randrange(1, 4))).title()} ",) for _ in range(60)] + [(" ",), (None,)]
+    texts = [(i, " ".join(rng.choices(words, k=6)), rng.choice([None, "", rng.choice(words).upper()])) for i in range(150)] + [(999, None, None)]
+    left, right = spark.createDataFrame(names, "name string"), spark.createDataFrame(texts, "id long, t string, c string")
+    want = {(n, i) for (n,) in names if n and n.strip() for i, *ts in texts if any(t and n.strip().lower() in t.lower() for t in ts)}
+    assert len(want) > 50
+    for bounds in ({}, {"BROADCAST_ROWS": 5}, {"BROADCAST_BYTES": 5}, {"BROADCAST_ROWS": 5, "KEYS": 5}):
+        with monkeypatch.context() as m:
+            for k, v in bounds.items():
+                m.setattr(joins, k, v, raising=False)
+            got = joins.substring_join(left, "name", "name", right, "id", ["t", "c"])
+            pairs = [tuple(r) for r in got.collect()]
+            assert len(pairs) == len(set(pairs)) and set(pairs) == want, bounds
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == ("KEYS" not in bounds), bounds
