@@ -14,7 +14,7 @@ import functools
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,11 @@ from tessela.llm.blocks import pairs_within
 from tessela.operators.components import connected_components
 from tessela.session import cut_lineage
 
-#: Pairs that meet on selective words, for each record: it decides from how many records on a word counts as frequent.
+#: Pairs that meet on selective words, for each record: it decides from how many records on a word counts as frequent, at
+#: least; where there are more records than SAMPLE, a higher frequency is taken if fewer pairs meet at it in all.
 PAIRS = 400
+#: Records, their words, and the words of the longest of them, from which the pairs that meet on segments are estimated.
+SAMPLE, SAMPLE_WORDS, SAMPLE_LONGEST = 8_000, 2_000_000, 4_096
 #: Frequent words, at most: they are sent to the executors.
 MOST_FREQUENT = 1_000_000
 #: Share of the records of a size that may need more segments than the others of this size are cut into.
@@ -230,18 +233,8 @@ def _keys(batches: Iterator[pa.RecordBatch], cut: _Cut, native: bool, short: boo
 _KEYED = "v long, short boolean, d long, n long, " + ", ".join(f"{k} long" for k in SKETCH)
 
 
-def _plan_cuts(sets: DataFrame, similarity: float, pairs: int) -> _Cut:
-    """What is frequent and how records are cut, from counts over all records."""
-    counts = cut_lineage(sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df")))
-    steps = {r["k"]: (float(r["met"]), r["words"]) for r in counts.groupBy(F.floor(F.log2("df")).alias("k")).agg((F.sum(F.col("df").cast("double") * F.col("df")) / 2).alias("met"), F.count("*").alias("words")).collect()}
-    total = sets.count()
-    k = 1
-    while k < 62 and (sum(m for j, (m, _) in steps.items() if 0 < j <= k) <= pairs * total or sum(w for j, (_, w) in steps.items() if j >= k) > MOST_FREQUENT):
-        k += 1
-    common = counts.where(F.col("df") >= 2**k).orderBy("df", "h").select("h").toArrow().column(0).to_numpy()  # MOST_FREQUENT at most
-    cut = _Cut(common, (1 - similarity) / (1 + similarity), similarity)
-    found = sets.select("n", "hs").mapInArrow(functools.partial(_sizes, cut=cut), "c long, m long, records long, least long, greatest long, top double")
-    sizes = found.groupBy("c", "m").agg(F.sum("records").alias("records"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.max("top").alias("top")).collect()  # a row a size class and level
+def _levels(cut: _Cut, sizes: list[dict]) -> None:
+    """Sets how records are cut, from their numbers by size class and segments needed."""
     for c in {r["c"] for r in sizes}:
         own = sorted((r["m"], r["records"]) for r in sizes if abs(r["c"] - c) <= 1)  # those of sizes that can be alike
         rest = sum(x for _, x in own)
@@ -257,6 +250,67 @@ def _plan_cuts(sets: DataFrame, similarity: float, pairs: int) -> _Cut:
         least, greatest, top = merged.get(key, (r["least"], r["greatest"], r["top"]))
         merged[key] = (min(least, r["least"]), max(greatest, r["greatest"]), max(top, r["top"]))
     cut.groups = [(m, *x) for (_, m), x in sorted(merged.items())]
+
+
+def _met(keys: np.ndarray, short: np.ndarray) -> float:
+    """Pairs that meet on equal keys, one of each pair without a word left out."""
+    _, of = np.unique(keys, return_inverse=True)
+    whole, left = np.bincount(of, ~short), np.bincount(of, short)
+    return float((whole * (whole - 1) / 2 + whole * left).sum())
+
+
+def _segment_pairs(some: pa.RecordBatch, cut: _Cut) -> float:
+    """Pairs of these records that meet on segments; it estimates cost and decides nothing else."""
+    _levels(cut, [r for b in _sizes(iter([some]), cut) for r in b.to_pylist()])
+    keyed = pa.Table.from_batches(list(_keys(iter([some]), cut, True, True))).select(["v", "short"])
+    _, h, place, _, _, _ = cut.parts(some)
+    rare = h[place < 0]
+    return _met(keyed["v"].to_numpy(), keyed["short"].to_numpy()) - _met(rare, np.zeros(len(rare), bool))
+
+
+def _cheapest(sets: DataFrame, common: pa.Table, steps: dict[int, tuple[float, int]], k: int, total: int, cut_at: Callable[[np.ndarray], _Cut]) -> int:
+    """The frequency, as a power of two from ``k`` on, at which the fewest pairs meet on words and segments.
+
+    Pairs on words are counted exactly; those on segments are estimated from records drawn by a hash.
+    """
+    words = sum(m * 2 / 2**j for j, (m, _) in steps.items())  # at most twice as many
+    share = min(1.0, SAMPLE / max(total, 1), SAMPLE_WORDS / max(words, 1.0))
+    if share == 1:
+        return k
+    drawn = sets.where((F.pmod(F.xxhash64("rep"), F.lit(2**30)) < int(share * 2**30)) & (F.col("n") <= SAMPLE_LONGEST)).drop("rep").toArrow().combine_chunks().to_batches()
+    if not drawn:
+        return k
+    some, df = drawn[0], common["df"].to_numpy()
+    h = common["h"].to_numpy()
+    best, least = k, math.inf
+    while k < 62:
+        on_words = sum(m for j, (m, _) in steps.items() if 0 < j < k)
+        if on_words >= least:
+            break
+        cost = on_words + _segment_pairs(some, cut_at(h[df >= 2**k])) / share**2
+        if cost < least:
+            best, least = k, cost
+        if not (df >= 2**k).any():
+            break
+        k += 1
+    return best
+
+
+def _plan_cuts(sets: DataFrame, similarity: float, pairs: int) -> _Cut:
+    """What is frequent and how records are cut, from counts over all records."""
+    counts = cut_lineage(sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("df")))
+    steps = {r["k"]: (float(r["met"]), r["words"]) for r in counts.groupBy(F.floor(F.log2("df")).alias("k")).agg((F.sum(F.col("df").cast("double") * F.col("df")) / 2).alias("met"), F.count("*").alias("words")).collect()}
+    total = sets.count()
+    k = 1
+    while k < 62 and (sum(m for j, (m, _) in steps.items() if 0 < j <= k) <= pairs * total or sum(w for j, (_, w) in steps.items() if j >= k) > MOST_FREQUENT):
+        k += 1
+    common = counts.where(F.col("df") >= 2**k).orderBy("df", "h").select("h", "df").toArrow()  # MOST_FREQUENT at most
+    cut_at = lambda h: _Cut(h, (1 - similarity) / (1 + similarity), similarity)
+    k = _cheapest(sets, common, steps, k, total, cut_at)
+    cut = cut_at(common["h"].to_numpy()[common["df"].to_numpy() >= 2**k])
+    found = sets.select("n", "hs").mapInArrow(functools.partial(_sizes, cut=cut), "c long, m long, records long, least long, greatest long, top double")
+    sizes = found.groupBy("c", "m").agg(F.sum("records").alias("records"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.max("top").alias("top")).collect()  # a row a size class and level
+    _levels(cut, sizes)
     return cut
 
 

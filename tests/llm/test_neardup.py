@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tessela.llm import neardup
 from tessela.llm.neardup import duplicate_groups, duplicate_pairs, option_texts, similar_classes, word_classes
 from tests.helpers import rows
 
@@ -111,3 +113,24 @@ def test_records_of_all_sizes(spark):
     for pairs in (0, 30):
         got, _, _ = _found(spark, texts, pairs=pairs)
         assert got == _brute(texts) and len(got) > 100
+
+
+def test_frequency_by_the_pairs_that_meet(spark, monkeypatch):
+    """Words that some records more than usual hold stay selective where segments without them would meet far more."""
+    monkeypatch.setattr(neardup, "SAMPLE", 400, raising=False)
+    rng = random.Random(9)
+    usual, pool, texts = [f"w{i}" for i in range(16)], [f"p{i}" for i in range(400)], []
+    for g in range(1200):
+        words = rng.sample(usual, 13) + rng.sample(pool, 8)
+        texts.append((f"f{g:04}a", " ".join(words)))
+        if g % 10 == 0:
+            texts.append((f"f{g:04}b", " ".join(words[:-2] + [f"novo{g}"])))
+    got, _, _ = _found(spark, texts, pairs=40)
+    assert got == _brute(texts) and len(got) >= 120
+    sets = word_classes(spark.createDataFrame([(i, t, None) for i, t in texts], SCHEMA), "id", [F.col("statement")])[0]
+    cut = neardup._plan_cuts(sets, 0.6, 40)
+    met = Counter()
+    for b in neardup._keys(iter(sets.drop("rep").toArrow().combine_chunks().to_batches()), cut, True, True):
+        met.update(b["v"].to_pylist())
+    ratio = sum(c * c for c in met.values()) / len(texts)
+    assert ratio < 500, ratio  # 2149 with the fixed frequency
